@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ PIECES = {
     "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
     "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
 }
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -68,7 +69,7 @@ def kind_of(spec: dict) -> str:
 class ChunkEncoder:
     """Ids of many texts at once. Holds at most ``most`` chunks between calls."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -83,13 +84,13 @@ class ChunkEncoder:
 
     def _empty(self) -> None:
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(named(piece))]
+            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(named(piece))]).tobytes()
         return got
 
     def _codes(self, chunks: list[str]) -> np.ndarray:
@@ -100,13 +101,11 @@ class ChunkEncoder:
         for chunk in chunks:
             if chunk not in index:
                 index[chunk] = len(index)
-                before = len(ids)
-                for piece in rule.findall(chunk.lower() if lower else chunk):
-                    ids += self._piece(piece)
-                lens.append(len(ids) - before)
+                ids.append(b"".join(map(self._piece, rule.findall(chunk.lower() if lower else chunk))))
+                lens.append(len(ids[-1]) >> 2)
         if lens:
             self.lens = np.concatenate([self.lens, np.array(lens, np.int64)])
-            self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
         return np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
 
     def chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,3 +55,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone (a null text becomes an empty one), so that extra columns cannot clash."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+
+def with_fields(df: DataFrame, more: str) -> str:
+    """The DDL of df's columns and more; (StructType.add would change df's own schema)."""
+    own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"{own}, {more}" if own else more

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import texts
+from .common import texts, with_fields
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -214,7 +214,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
     if keep:
         names = documents.columns
-        schema = documents.schema.add("_score", "double")
+        schema = with_fields(documents, "_score double")
         return documents.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)
     return texts(documents, key, text).mapInArrow(run, "doc_id long, score double, predicted int").withColumnRenamed("doc_id", key)
 
