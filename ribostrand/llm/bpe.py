@@ -33,6 +33,7 @@ PIECES = {
     "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
     "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
 }
+#: Slices and kept chunks bound a Python worker's memory to about 400 MB, long single texts aside.
 SLICE_BYTES = 4 << 20
 
 
