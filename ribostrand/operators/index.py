@@ -82,19 +82,24 @@ def find_exact(queries: DataFrame, targets: DataFrame, key: str = "query_id", k:
     return hits.groupBy(key).agg(F.min(F.struct("target_id", "pos")).alias("h")).select(key, "h.target_id", "h.pos")
 
 
-def self_matches(targets: DataFrame, k: int = WORD) -> DataFrame:
-    """target_id, length: the longest stretch of each target that occurs elsewhere in any target; k if none does."""
+def self_matches(targets: DataFrame, k: int = WORD, minimum: int = WORD, within: bool = False) -> DataFrame:
+    """target_id, length: the longest stretch of each target, of at least minimum bases, that occurs elsewhere; minimum if none does.
+
+    Elsewhere is any place of any target, or with ``within`` of the same one.
+    """
     index = kmer_index(targets, k)
     a = index.select("word", "target_id", "pos")
     b = index.select("word", F.col("target_id").alias("other_id"), F.col("pos").alias("other"))
     # a repeat is named by its first word, the one whose bases before differ
     pairs = a.join(b, "word").where((F.col("target_id") != F.col("other_id")) | (F.col("pos") != F.col("other")))
+    if within:
+        pairs = pairs.where("target_id = other_id")
     texts = targets.select("target_id", F.col("seq").alias("s")), targets.select(F.col("target_id").alias("other_id"), F.col("seq").alias("o"))
     placed = pairs.join(texts[0], "target_id").join(texts[1], "other_id")
     starts = placed.where((F.col("pos") == 0) | (F.col("other") == 0) | (S.at(F.col("s"), F.col("pos") - 1) != S.at(F.col("o"), F.col("other") - 1)))
     length = k + _common(F.substring("s", F.col("pos") + k + 1, F.length("s")), F.substring("o", F.col("other") + k + 1, F.length("o")))
     longest = starts.groupBy("target_id").agg(F.max(length).alias("length"))
-    return targets.select("target_id").join(longest, "target_id", "left").select("target_id", F.coalesce("length", F.lit(k)).alias("length"))
+    return targets.select("target_id").join(longest, "target_id", "left").select("target_id", F.greatest(F.coalesce("length", F.lit(minimum)), F.lit(minimum)).alias("length"))
 
 
 def merge_targets(targets: DataFrame, more: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def r2_table(targets: DataFrame, config: RunConfig, length: int) -> DataFrame:
     if config.count_mutations:
         sized = targets.withColumn("r2_len", F.lit(length))
     else:
-        sized = targets.join(self_matches(targets).select("target_id", (F.col("length") + 1).alias("r2_len")), "target_id")
+        sized = targets.join(self_matches(targets, minimum=config.minimum_target_match_length, within=True).select("target_id", (F.col("length") + 1).alias("r2_len")), "target_id")
     rows = sized.where(F.length("seq") >= F.col("r2_len")).select("target_id", "seq", "r2_len", F.explode(F.sequence(F.lit(0), F.length("seq") - F.col("r2_len"))).alias("r2_site"))
     part = F.substring("seq", F.col("r2_site") + 1, F.col("r2_len"))
     table = rows.select("target_id", (F.col("r2_len") + len(dumb)).alias("r2_len"), "r2_site", part.alias("part"), F.array().cast("array<int>").alias("mutations"))
