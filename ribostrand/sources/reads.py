@@ -60,16 +60,16 @@ class FastqReader(DataSourceReader):
         return out
 
     def read(self, part: FilePair) -> Iterator[tuple]:
-        strict, quality = self.options.get("strict", "true") == "true", self.options.get("quality", "true") == "true"
+        strict, quality = self.options.get("strict", "false") == "true", self.options.get("quality", "true") == "true"
         with open_text(part.r1) as a, open_text(part.r2) as b:
             for k, (x, y) in enumerate(zip(records(a), records(b), strict=False)):
-                if strict and x[0] != y[0]:
+                if (strict or k == 0) and x[0] != y[0]:
                     raise ValueError(f"record {k} of {part.r1} is {x[0]}, that of {part.r2} is {y[0]}")
                 yield ((part.number << 40) + k, x[0], x[1], y[1], x[2] if quality else None, y[2] if quality else None, 1, part.channel)
 
 
 class FastqPairs(DataSource):
-    """Options: r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict, quality."""
+    """Options: r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict (compare identifiers of all records, not only the first), quality."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,7 +82,7 @@ class FastqPairs(DataSource):
         return FastqReader(dict(self.options))
 
 
-def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = True, quality: bool = True, partitions: int = 0) -> DataFrame:
+def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = False, quality: bool = True, partitions: int = 0) -> DataFrame:
     """Pairs of one or several file pairs; partitions spreads what single large files hold."""
     spark.dataSource.register(FastqPairs)
     joined = [",".join(x) if isinstance(x, list) else x for x in (r1, r2)]
