@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bitmaps that spare work have 2**BITS bits, 4 MB, whatever they stand for.
+BITS = 25
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -61,3 +66,50 @@ def with_fields(df: DataFrame, more: str) -> str:
     """The DDL of df's columns and more; (StructType.add would change df's own schema)."""
     own = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return f"{own}, {more}" if own else more
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the low BITS bits of a column of well-mixed longs, of constant size.
+
+    It only spares work: what passes is joined exactly afterwards, and a full
+    bitmap lets all rows pass.
+    """
+    low = F.col(column).bitwiseAND((1 << BITS) - 1)
+    rows = df.select(F.shiftright(low, 15).alias("block"), low.bitwiseAND(32767).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros((1 << BITS >> 15, 4096), np.uint8)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & ((1 << BITS) - 1)
+    return bits[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+
+
+def in_bitmap(spark: SparkSession, bits: np.ndarray, mix: Column) -> Column:
+    """Does a column of longs (never null) pass the bitmap? Only that column leaves the JVM."""
+    sent = spark.sparkContext.broadcast(bits)  # 4 MB, a constant
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, values.to_numpy()))
+
+    return test(mix)
+
+
+def split_by_ids(df: DataFrame, key: str, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, rows whose key is not); so that only few rows need a join.
+
+    ids must be cheap to read again.
+    """
+    bits = bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("mix")), "mix")
+    test = in_bitmap(df.sparkSession, bits, F.xxhash64(F.col(key).cast("long")))
+    flagged = df.withColumn("_may", test)
+    return flagged.where("_may").drop("_may"), flagged.where("not _may").drop("_may")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose key is not among ids (stored); rows with a null key stay."""
+    some, rest = split_by_ids(df, key, ids, column)
+    return rest.unionByName(some.join(ids.select(F.col(column).alias("_without")).where("_without is not null").distinct(), F.col(key).cast("long") == F.col("_without"), "left_anti"))

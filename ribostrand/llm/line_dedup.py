@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string
-from .common import stored, with_fields
+from .common import split_by_ids, stored, with_fields
 
 MIN_WORDS = 40
 WORD = re.compile(r"\S+")
@@ -101,9 +101,12 @@ def _offsets(df: DataFrame, size: str, name: str) -> DataFrame:
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Maximal stretches of repeated lines with enough words: doc_id, h, copy, first (line number), ids (array of digests), words; in corpus order with p, the place of the first line."""
-    own = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
-    lines = lines.withColumn("copy", F.row_number().over(own) - 1)
     lines = stored(lines, "lines")
+    if lines.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        lines = lines.withColumn("copy", F.lit(0))
+    else:
+        own = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))
+        lines = stored(lines.withColumn("copy", F.row_number().over(own) - 1), "lines")
     repeated = lines.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line")
     enough = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w) >= min_words
     each = lines.where(enough).select("doc_id", "h", "copy", F.posexplode("lines").alias("i", "line"), "words").select("doc_id", "h", "copy", "i", "line", F.element_at("words", F.col("i") + 1).alias("w"))
@@ -323,8 +326,11 @@ def deleted_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of df, the text without its deleted lines, and n_lines, n_deleted (int)."""
-    deleted = stored(deleted_lines(df, min_words, key, text), "deleted").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("h", "copy", "deleted")).alias("_deleted"))
-    rows = df.withColumn("_doc", F.col(key).cast("long")).withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    found = stored(deleted_lines(df, min_words, key, text), "deleted")
+    deleted = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("h", "copy", "deleted")).alias("_deleted"))
+    # texts of which nothing is deleted are not moved
+    some, rest = split_by_ids(df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))), key, found, "doc_id")
+    rows = some.withColumn("_doc", F.col(key).cast("long"))
     names, at = df.columns, df.columns.index(text)
     schema = with_fields(df, "n_lines int, n_deleted int")
 
@@ -351,4 +357,5 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
             columns[at] = pa.array(every, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], names=[*names, "n_lines", "n_deleted"])
 
-    return rows.join(deleted, F.col("_doc").eqNullSafe(F.col("_of")), "left").drop("_of").mapInArrow(run, schema)
+    changed = rows.join(deleted, F.col("_doc").eqNullSafe(F.col("_of")), "left").drop("_of").mapInArrow(run, schema)
+    return rest.withColumn("n_lines", F.size(F.split(text, "\n"))).withColumn("n_deleted", F.lit(0)).unionByName(changed)
