@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribostrand.llm.common import stored, table
+from ribostrand.llm.common import stored, table, without
 from ribostrand.llm.decontamination import decontaminate
 from ribostrand.llm.jaccard import jaccard_components
 from ribostrand.llm.line_dedup import dedup_lines
@@ -40,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id."""
     others = jaccard_components(docs, n=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(stored(others, "others"), F.col("doc_id").cast("long") == F.col("_other"), "left_anti")
+    return without(docs, "doc_id", stored(others, "others"), "_other")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

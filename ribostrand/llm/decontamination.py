@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import stored, texts
+from .common import stored, texts, without
 
 N, STRIDE, RATIO = 3, 4, 0.6
 BLOCK_WORDS = 2_000_000
@@ -234,6 +234,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, stride: int =
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of df without those of contaminated documents; all columns."""
-    bad = stored(contaminated(df, benchmark, key=key, **options).select(F.col("doc_id").alias("_contaminated")).distinct(), "contaminated")
-    return df.join(bad, F.col(key).cast("long").eqNullSafe(F.col("_contaminated")), "left_anti")
+    """The rows of df without those of contaminated documents; all columns. Rows without a key cannot be named and stay."""
+    bad = stored(contaminated(df, benchmark, key=key, **options).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
+    return without(df, key, bad, "doc_id")
