@@ -330,23 +330,20 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id",
     deleted = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("h", "copy", "deleted")).alias("_deleted"))
     # texts of which nothing is deleted are not moved
     some, rest = split_by_ids(df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))), key, found, "doc_id")
-    rows = some.withColumn("_doc", F.col(key).cast("long"))
+    rows = some.withColumn("_doc", F.col(key).cast("long")).withColumn("_copy", F.lit(0))
+    if not found.where("copy > 0").isEmpty():
+        # equal rows: which of them is the first copy makes no difference
+        rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc", F.xxhash64(text)).orderBy(F.lit(0))) - 1)
     names, at = df.columns, df.columns.index(text)
     schema = with_fields(df, "n_lines int, n_deleted int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used: dict[tuple, int] = {}
         for batch in batches:
-            every, marks, docs = flat_string(batch.column(text)).to_pylist(), batch.column("_deleted").to_pylist(), batch.column("_doc").to_pylist()
+            every, marks, copies = flat_string(batch.column(text)).to_pylist(), batch.column("_deleted").to_pylist(), batch.column("_copy").to_pylist()
             n_lines, n_deleted = [], []
-            for i, (whole, mark, doc) in enumerate(zip(every, marks, docs, strict=True)):
-                gone: list[int] = []
-                if mark:
-                    h = text_key(whole)
-                    copy = used.get((doc, h), 0)
-                    if any(m["copy"] > 0 for m in mark if m["h"] == h):  # equal rows: one of them keeps what copy 0 keeps
-                        used[doc, h] = copy + 1
-                    gone = next((m["deleted"] for m in mark if m["h"] == h and m["copy"] == copy), [])
+            for i, (whole, mark, copy) in enumerate(zip(every, marks, copies, strict=True)):
+                h = text_key(whole) if mark else 0
+                gone = next((m["deleted"] for m in mark or () if m["h"] == h and m["copy"] == copy), [])
                 lines = whole.split("\n")
                 if gone:
                     off = set(gone)
