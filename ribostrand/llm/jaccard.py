@@ -42,12 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import stored, texts
+from .common import bitmap, passes, stored, texts
 
-LIGHT = 2
+LIGHT = 1
 ROUNDS = 3
-BITS = 25
-BITS_BYTES = (1 << BITS) // 8
 MULT = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,10 +83,10 @@ def shingles(column: pa.Array, n: int) -> list[np.ndarray]:
             own = np.sort(rolled[a : b - n + 1])
             out.append(own[np.append(True, own[1:] != own[:-1])])
         elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = mixed(np.array([h * MULT + w], np.uint64))[0]
-            out.append(np.array([h], np.uint64))
+            h = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                h = mixed(h * MULT + words[k : k + 1])
+            out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -101,7 +99,7 @@ def allocation(top: int, percent: int) -> tuple[int, int]:
     if need == 1:
         return 1, 0
     best, cost = (need, 0), float("inf")
-    for spare in range(max(2, need // 3) + 8):
+    for spare in range(need // 3 + 10):
         m = need + spare
         mean = 0.85 * top / m
         light = sum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(LIGHT + 1))
@@ -131,11 +129,16 @@ def band_tops(size: int, percent: int) -> list[int]:
 _bands: dict[tuple[int, int], list[int]] = {}
 
 
-def keys(elements: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of a set."""
+def keys(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, need, index entries) of a set, for each band in which it is indexed.
+
+    need: so many of the entries, at least, are shared with any linked set of
+    the band. Of the m segments, at most as many differ as elements differ,
+    and equal ones that are no entry are light ones of this set.
+    """
     size, out = len(elements), []
     if not size:
-        return np.zeros(0, np.uint64)
+        return out
     tops = _bands.get((size, percent))
     if tops is None:
         tops = _bands[size, percent] = band_tops(size, percent)
@@ -143,7 +146,7 @@ def keys(elements: np.ndarray, percent: int) -> np.ndarray:
         m, spare = allocation(top, percent)
         salt = mixed(np.array([top * 2 + 1], np.uint64))[0]
         if m == 1:
-            out.append(np.array([mixed(np.array([np.bitwise_xor.reduce(mixed(elements + salt))]))[0]], np.uint64))
+            out.append((top, 1, np.array([mixed(np.array([np.bitwise_xor.reduce(mixed(elements + salt))]))[0]], np.uint64)))
             continue
         segment = ((mixed(elements ^ salt) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         counts = np.bincount(segment, minlength=m)
@@ -152,73 +155,63 @@ def keys(elements: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(sums, segment, values)
         names = mixed(np.arange(1, m + 1, dtype=np.uint64) * MULT + salt)
         heavy = counts > LIGHT
-        out.append(mixed(sums[heavy] + names[heavy] + counts[heavy].astype(np.uint64) * STEP))
+        found = [mixed(sums[heavy] + names[heavy] + counts[heavy].astype(np.uint64) * STEP)]
         light = m - int(heavy.sum())
         if light > spare:
             # no heavier segment need be equal: light ones are indexed too, with the others' one-deletion neighbourhoods
-            out.append(mixed(sums[~heavy] + names[~heavy] + counts[~heavy].astype(np.uint64) * STEP))
+            found.append(mixed(sums[~heavy] + names[~heavy] + counts[~heavy].astype(np.uint64) * STEP))
             near = segment < min(m, 2 * light)
             less = mixed(sums[segment] - values + names[segment] + (counts[segment] - 1).astype(np.uint64) * STEP)
-            out.append(less[near & (counts[segment] > LIGHT + 1)])
-    return np.unique(np.concatenate(out))
+            found.append(less[near & (counts[segment] > LIGHT + 1)])
+        largest = max(size, min(top, size * 100 // percent))
+        differ = (100 - percent) * (size + largest) // (100 + percent)
+        out.append((top, max(1, m - differ - light), np.unique(np.concatenate(found))))
+    return out
 
 
 def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128-bit digest of the set, null if empty) and entries (of the index) for each row."""
+    """doc_id, n_shingles, h1, h2 (128-bit digest of the set, null if empty) and bands (band, need, entries of the index) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band_type = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("entries", pa.list_(pa.int64()))])
         for batch in batches:
             column = flat_string(batch.column(1))
             for a, b in slices(column):
                 sets = shingles(column.slice(a, b - a), n)
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") if len(s) else (None, None) for s in sets]
-                found = [keys(s, percent).view(np.int64) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                found = [keys(s, percent) for s in sets]
+                flat = [x for bands in found for x in bands]
+                inner = np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])]).astype(np.int32)
+                outer = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                entries = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in flat)]).view(np.int64)))
+                bands = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), entries], fields=list(band_type))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))],
-                    ["doc_id", "n_shingles", "h1", "h2", "entries"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(outer), bands)],
+                    ["doc_id", "n_shingles", "h1", "h2", "bands"],
                 )
 
-    return texts(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, entries array<long>")
-
-
-def bits(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**BITS bits of the low bits of a column of well-mixed longs: always BITS_BYTES, however many rows there are.
-
-    It only spares work: what passes is joined exactly afterwards, and a full
-    bitmap lets all rows pass.
-    """
-    low = F.col(column).bitwiseAND((1 << BITS) - 1)
-    rows = df.select(F.shiftright(low, 15).alias("block"), low.bitwiseAND(32767).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    out = np.zeros((1 << BITS >> 15, 4096), np.uint8)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values & ((1 << BITS) - 1)
-    return bitmap[low >> 3] >> (low & 7).astype(np.uint8) & 1 == 1
+    return texts(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<struct<band: long, need: long, entries: array<long>>>")
 
 
-def members(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, h1, h2, entry of the entries that pass the bitmap."""
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap)  # BITS_BYTES, a constant
+def members(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id, h1, h2, band, need, entry of the entries that pass the bitmap."""
+    sent = rows.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(5)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(passes(sent.value, values))
             row = pa.array(np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, "right") - 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(values[at])], ["doc_id", "h1", "h2", "entry"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(5)), pa.array(values[at])], ["doc_id", "h1", "h2", "band", "need", "entry"])
 
-    return rows.select("doc_id", "h1", "h2", "entries").mapInArrow(run, "doc_id long, h1 long, h2 long, entry long")
+    flat = rows.select("doc_id", "h1", "h2", F.explode("bands").alias("b")).select("doc_id", "h1", "h2", "b.band", "b.need", "b.entries")
+    return flat.mapInArrow(run, "doc_id long, h1 long, h2 long, band long, need long, entry long")
 
 
-def set_bytes(df: DataFrame, n: int, bitmap: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+def set_bytes(df: DataFrame, n: int, bits: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, h1, h2, elements (sorted little-endian 64-bit hashes) of the rows whose key passes the bitmap."""
-    sent = df.sparkSession.sparkContext.broadcast(bitmap)  # BITS_BYTES, a constant
+    sent = df.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,22 +286,29 @@ def candidate_pairs(left: DataFrame, right: DataFrame, tested: DataFrame, percen
     return pairs.join(tested, ["x", "y"], "left_anti")
 
 
+def best_hubs(rest: DataFrame, step: int, tested: DataFrame, percent: int) -> DataFrame:
+    """x < y: each member with the one hub with which it shares most entries; an entry's hub is one of its members, another one in each step."""
+    order = F.struct(F.xxhash64("id", F.lit(step)) if step else F.col("id"), F.col("id"))
+    hub = rest.groupBy("entry").agg(F.min_by(F.struct("id", "size", "component"), order).alias("h")).select("entry", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.component").alias("hub_component"))
+    near = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("component") != F.col("hub_component"))
+    shared = rest.join(hub, "entry").where(near).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y"), "id", "hub", "n").join(tested, ["x", "y"], "left_anti")
+    best = shared.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    return best.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
+
+
 def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, component of the linked ids of an index (entry, id, size)."""
     spark = index.sparkSession
-    empty = spark.createDataFrame([], "x long, y long")
-    links = tested = empty
+    links = tested = spark.createDataFrame([], "x long, y long")
     found = spark.createDataFrame([], "id long, component long")
     for step in range(ROUNDS + 1):
         rest = stored(open_entries(index, found), "open")
         if rest.isEmpty():
             break
-        if step < ROUNDS:
-            # one member of each entry, another one in each round, against the others
-            hub = rest.groupBy("entry").agg(F.min_by(F.struct("id", "size", "component"), F.struct(F.xxhash64("id", F.lit(step)) if step else F.col("id"), "id")).alias("h")).select("entry", "h.*")
-        else:
-            hub = rest
-        pairs = stored(candidate_pairs(rest, hub, tested, percent), "pairs")
+        # first one partner for each member, at last all pairs that still lie in different components
+        pairs = best_hubs(rest, step, tested, percent) if step < ROUNDS else candidate_pairs(rest, rest, tested, percent)
+        pairs = stored(pairs, "pairs")
         links = stored(links.unionByName(verified(pairs, sets, percent)), "links")
         tested = tested.unionByName(pairs)
         found = components(links)
@@ -320,13 +320,18 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, key: str =
     rows = stored(indexed(df, n, percent, key, text), "indexed")
     small = rows.select("doc_id", "n_shingles", "h1", "h2")
     heads = stored(small.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("size")), "heads")
-    shared = rows.select("h1", F.explode("entries").alias("entry")).groupBy("entry").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("entry")
-    shared = stored(shared, "shared")
-    held = members(rows, bits(shared, "entry")).join(shared, "entry")
-    held = held.join(heads, ["h1", "h2"]).where("doc_id = id").select("entry", "id", "size", "h1", "h2").distinct()
-    index = stored(held.select("entry", "id", "size"), "index")
-    sets = set_bytes(df, n, bits(index.select(F.xxhash64("id").alias("mix")), "mix"), key, text).join(heads, ["id", "h1", "h2"]).select("id", "h1", "h2", "elements").dropDuplicates(["id", "h1", "h2"])
-    found = connected(index, stored(sets.select("id", "elements"), "sets"), percent)
+    every = rows.select("h1", F.explode("bands").alias("b")).select("h1", F.explode("b.entries").alias("entry"))
+    shared = stored(every.groupBy("entry").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("entry"), "shared")
+    held = members(rows, bitmap(shared, "entry")).join(shared, "entry")
+    held = held.join(heads, ["h1", "h2"]).where("doc_id = id").select("entry", "id", "size", "band", "need").distinct()
+    held = stored(held, "held")
+    # a set that shares too few entries of a band has no link in it
+    enough = held.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
+    index = stored(held.join(enough, ["id", "band"]).select("entry", "id", "size"), "index")
+    wanted = stored(open_entries(index, df.sparkSession.createDataFrame([], "id long, component long")).select("id").distinct(), "wanted")
+    found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("id").alias("mix")), "mix"), key, text).join(wanted, "id").join(heads, ["id", "h1", "h2"])
+    sets = stored(found_sets.select("id", "h1", "h2", "elements").dropDuplicates(["id", "h1", "h2"]).select("id", "elements"), "sets")
+    found = connected(index, sets, percent)
     named = heads.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     full = small.where("h1 is not null").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return full.unionByName(small.where("h1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumnRenamed("doc_id", key)
