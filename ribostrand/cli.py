@@ -18,7 +18,7 @@ from .plans.runs import PLOTS, Run, plot_data, traces_to_json
 from .sinks import exports as X
 from .sources import reads as S
 
-TEMPLATE = """[spats]
+TEMPLATE = """[run]
 target = target.fa
 r1 = R1.fastq
 r2 = R2.fastq
@@ -46,7 +46,7 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "to_shapeware", "show", "matrix", "doc")
+    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "export_channels", "show", "matrix", "doc")
     parser = argparse.ArgumentParser(prog="ribostrand", description=__doc__)
     parser.add_argument("command", choices=commands)
     parser.add_argument("config", nargs="?", default="run.config")
@@ -104,10 +104,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _csv(X.matrix_rows(Run.load(spark, out).profiles(), a.kind if a.kind != "run" else "beta"), f"{out}/matrix")
     elif a.command == "plot":
         _csv(plot_data(Run.load(spark, out), a.kind if a.kind != "run" else "beta"), f"{out}/plot-{a.kind}")
-    elif a.command in ("handle_filter", "to_shapeware"):
+    elif a.command in ("handle_filter", "export_channels"):
         shutil.rmtree(f"{out}/channels", ignore_errors=True)
-        X.write_channels(pairs, f"{out}/channels", config, compress=a.command == "to_shapeware")
-        if a.command == "to_shapeware":
+        X.write_channels(pairs, f"{out}/channels", config, compress=a.command == "export_channels")
+        if a.command == "export_channels":
             _csv(X.input_sheet(spark, config.masks, f"{out}/channels"), f"{out}/sheet")
     elif a.command == "show":
         one = K.classify(pairs.where(F.col("pair_id") == a.pair), targets, config).join(pairs.select("pair_id", "r1", "r2"), "pair_id").join(targets.select("target_id", "seq"), "target_id", "left").first()

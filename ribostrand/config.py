@@ -138,7 +138,7 @@ def typed(name: str, text: str):
 
 
 def read_config(path: str) -> tuple[RunConfig, dict[str, str], dict[str, str]]:
-    """(options, inputs, metadata) of an INI file with a [spats]-like first section and [metadata]."""
+    """(options, inputs, metadata) of an INI file: the first section, whatever its name, and [metadata]."""
     ini = configparser.ConfigParser(interpolation=None)
     with open(path, encoding="utf-8") as f:
         ini.read_file(f)

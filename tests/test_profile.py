@@ -74,7 +74,7 @@ def test_command_line(spark, files, capsys):
     from ribostrand.cli import main
 
     config = files / "run.config"
-    config.write_text("[spats]\ntarget = target.fa\nr1 = R1.fastq\nr2 = R2.fastq\noutput = out\ncount_mutations = True\nallowed_target_errors = 4\nallow_multiple_rt_starts = True\n[metadata]\nname = x\n")
+    config.write_text("[run]\ntarget = target.fa\nr1 = R1.fastq\nr2 = R2.fastq\noutput = out\ncount_mutations = True\nallowed_target_errors = 4\nallow_multiple_rt_starts = True\n[metadata]\nname = x\n")
     options, inputs, metadata = read_config(str(config))
     assert options.count_mutations and inputs["r1"] == "R1.fastq" and metadata == {"name": "x"}
     assert main(["run", str(config)], spark) == 0
