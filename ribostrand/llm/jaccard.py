@@ -14,7 +14,8 @@ that no pair is lost. ``spare`` minimises the expected number of index entries
 
 A set is indexed in its own band and, if a larger partner may lie in the next
 one, also there. Sets that are equal are one class, found by grouping on a
-128-bit digest, so copies are never expanded. Within an index entry the members
+128-bit digest, so copies are never expanded. Sets that share fewer entries of a
+band than any link needs are dropped. Within an index entry the members
 are first compared with one representative; entries whose members are already
 connected need no more, and the remaining ones are compared across components,
 round by round, until every pair of different components that meets anywhere has been verified
@@ -38,11 +39,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import bitmap, passes, stored, texts
+from .common import bitmap, discard, passes, stored, texts
 
 LIGHT = 1
 ROUNDS = 3
@@ -271,10 +272,18 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def open_entries(index: DataFrame, found: DataFrame) -> DataFrame:
-    """entry, id, size, component of the entries whose members are not all connected yet."""
+    """The index (entry, id, size, band, need) with components, without entries whose members are connected, and without sets that share too few of the other entries for a link."""
     named = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_ = named.groupBy("entry").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("entry")
-    return named.join(mixed_, "entry").select("entry", "id", "size", "component")
+    rest = stored(named.join(mixed_, "entry").select("entry", "id", "size", "band", "need", "component"), "open")
+    enough = rest.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where("n >= least").select("id", "band", "n")
+    return stored(rest.join(enough, ["id", "band"]), "open")
+
+
+def prefixes(rest: DataFrame) -> DataFrame:
+    """Of each set's n entries of a band the first n - need + 1 in one order for all: two linked sets share one of those."""
+    order = Window.partitionBy("id", "band").orderBy(F.xxhash64("entry"), "entry")
+    return rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.col("need") + 1).drop("k")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
@@ -302,12 +311,18 @@ def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = index.sparkSession
     links = tested = spark.createDataFrame([], "x long, y long")
     found = spark.createDataFrame([], "id long, component long")
+    rest = index
     for step in range(ROUNDS + 1):
-        rest = stored(open_entries(index, found), "open")
+        # an entry whose members are connected stays so
+        rest = open_entries(rest.select("entry", "id", "size", "band", "need"), found)
         if rest.isEmpty():
             break
         # first one partner for each member, at last all pairs that still lie in different components
-        pairs = best_hubs(rest, step, tested, percent) if step < ROUNDS else candidate_pairs(rest, rest, tested, percent)
+        if step < ROUNDS:
+            pairs = best_hubs(rest, step, tested, percent)
+        else:
+            few = stored(prefixes(rest), "prefixes")
+            pairs = candidate_pairs(few, few, tested, percent)
         pairs = stored(pairs, "pairs")
         links = stored(links.unionByName(verified(pairs, sets, percent)), "links")
         tested = tested.unionByName(pairs)
@@ -318,17 +333,17 @@ def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: key, n_shingles, component_id (the smallest key reachable by links)."""
     rows = stored(indexed(df, n, percent, key, text), "indexed")
-    small = rows.select("doc_id", "n_shingles", "h1", "h2")
+    small = stored(rows.select("doc_id", "n_shingles", "h1", "h2"), "classes")
     heads = stored(small.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("size")), "heads")
-    every = rows.select("h1", F.explode("bands").alias("b")).select("h1", F.explode("b.entries").alias("entry"))
-    shared = stored(every.groupBy("entry").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("entry"), "shared")
+    every = rows.select(F.explode("bands").alias("b")).select(F.explode("b.entries").alias("entry"))
+    # copies share all entries; they are told from others below
+    shared = stored(every.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), "shared")
     held = members(rows, bitmap(shared, "entry")).join(shared, "entry")
     held = held.join(heads, ["h1", "h2"]).where("doc_id = id").select("entry", "id", "size", "band", "need").distinct()
     held = stored(held, "held")
-    # a set that shares too few entries of a band has no link in it
-    enough = held.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("id", "band")
-    index = stored(held.join(enough, ["id", "band"]).select("entry", "id", "size"), "index")
-    wanted = stored(open_entries(index, df.sparkSession.createDataFrame([], "id long, component long")).select("id").distinct(), "wanted")
+    discard(rows)
+    index = open_entries(held, df.sparkSession.createDataFrame([], "id long, component long"))
+    wanted = index.select("id").distinct()
     found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("id").alias("mix")), "mix"), key, text).join(wanted, "id").join(heads, ["id", "h1", "h2"])
     sets = stored(found_sets.select("id", "h1", "h2", "elements").dropDuplicates(["id", "h1", "h2"]).select("id", "elements"), "sets")
     found = connected(index, sets, percent)
