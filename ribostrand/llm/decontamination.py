@@ -1,22 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Words are runs of letters and digits of the lower-cased text. One pass over the
-corpus keeps, for each document that shares any word n-gram with a test item,
-its words (as numbers of the items' vocabulary) and the shared n-grams. The
-corpus frequencies of the items' n-grams decide the seeds: of every ``STRIDE``
-neighbouring n-grams of an item the rarest one, so that seeds lie all along the
-item and common phrases are only seeds where nothing rarer stands near. Around
-each seed the document is aligned locally with the item (match +2, mismatch and
-gap -1); the pair is reported if the best score reaches ``ratio`` of the score of
-an exact copy.
+"""Benchmark decontamination: shared word pairs bound the score, then Smith-Waterman alignment of words.
+
+Words are runs of letters and digits of the lower-cased text. A document is
+aligned locally with an item (match +2, mismatch and gap -1); the pair is
+reported if the best score reaches ``ratio`` of the score of an exact copy.
+
+Only alignments that cannot reach that score R are left out. An alignment of M
+matches in r runs scores at most 2 M - (r - 1), so at least R - M - 1 places of
+the item, with M at most its m words, begin a pair of neighbouring words that
+also stand side by side in the document. Where R - m - 1 is not positive (short
+items, low ratios) single words are counted instead, at least R / 2. The places
+met lie on diagonals at most 2 m - R apart, as each step between diagonals costs
+a gap. One pass over the corpus counts them and aligns what is left; no
+frequency decides what is searched.
 
 Items are held in memory in blocks of at most ``BLOCK_WORDS`` words; a larger
 benchmark takes more passes, one per block. Nothing about documents is
-gathered: only the n-gram frequencies of a block, at most one for each of its
-words, reach the driver.
+gathered.
 
-Edge cases: items without words match nothing; items shorter than the n-gram
-are seeds as a whole; null texts are empty; repeated rows give a row each;
+Edge cases: items without words match nothing; null texts are empty; repeated rows give a row each;
 repeated items are items of their own; empty tables give empty results; extra
 columns are ignored.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .bpe import flat_string, slices
 from .common import stored, texts, without
 
-N, STRIDE, RATIO = 3, 4, 0.6
+RATIO = 0.6
 BLOCK_WORDS = 2_000_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, item_id long, score int, ratio double, first_word int, last_word int, seeds int"
@@ -53,21 +54,27 @@ def words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Items:
-    """A block of test items: their vocabulary, and where each of their n-grams stands."""
+    """A block of test items: their vocabulary, the score each has to reach, and where each of their grams (pairs or single words) stands."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.ids = n, [r[0] for r in rows]
+    def __init__(self, rows: list[tuple[int, str]], ratio: float):
+        self.ids = [r[0] for r in rows]
         distinct, codes, offsets = words(pa.array([r[1] or "" for r in rows], pa.string()))
         names = distinct.to_pylist()
         self.vocabulary = {names[c]: int(c) for c in np.unique(codes)}
         self.words = [codes[a:b].astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        places: dict[int, list[tuple[int, int]]] = {}
-        for k, own in enumerate(self.words):
-            for at, gram in enumerate(self.grams(own, n) if len(own) >= n else self.grams(own, len(own)) if len(own) else []):
-                places.setdefault(int(gram), []).append((k, at))
-        self.hashes = np.array(sorted(places), np.uint64)
-        self.places = [places[int(h)] for h in self.hashes]
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < n})
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.ceil(ratio * 2 * size).astype(np.int64)
+        pairs = self.least - size - 1
+        self.need = np.maximum(1, np.where(pairs > 0, pairs, (self.least + 1) // 2))
+        of = np.where(pairs > 0, 2, 1)
+        self.sizes = sorted(set(of[size > 0].tolist()))
+        own = [self.grams(w, n) for w, n in zip(self.words, of.tolist(), strict=True)]
+        every = np.concatenate([np.zeros(0, np.uint64), *own])
+        self.hashes, numbers, counts = np.unique(every, return_inverse=True, return_counts=True)
+        #: the grams of each item in order, and the items of each gram (one entry for each place)
+        self.own = np.split(numbers, np.cumsum([len(x) for x in own])[:-1])
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+        self.items = np.repeat(np.arange(len(own)), [len(x) for x in own])[np.argsort(numbers, kind="stable")]
 
     @staticmethod
     def grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -79,10 +86,10 @@ class Items:
         return out
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the n-gram, place) of each n-gram of the items in a text."""
+        """(number of the gram, place) of each gram of the items in a text."""
         found = []
         known = codes >= 0
-        for n in (*self.short, self.n):
+        for n in self.sizes:
             if len(codes) < n:
                 continue
             whole = known[: len(codes) - n + 1].copy()
@@ -100,15 +107,34 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def seeds(self, frequency: np.ndarray, stride: int) -> list[list[tuple[int, int]]]:
-        """The places of each n-gram where it is a seed: the rarest of stride neighbours (the first of equals)."""
-        at: dict[tuple[int, int], int] = {p: g for g, places in enumerate(self.places) for p in places}
-        chosen = set()
-        for k, own in enumerate(self.words):
-            count = max(1, len(own) - self.n + 1) if len(own) else 0
-            for a in range(max(1, count - stride + 1) if count else 0):
-                chosen.add(min(((k, b) for b in range(a, min(a + stride, count))), key=lambda p: (frequency[at[p]], p[1])))
-        return [[p for p in places if p in chosen] for places in self.places]
+    def candidates(self, grams: np.ndarray) -> np.ndarray:
+        """The items of which a text with these grams holds enough places."""
+        met = np.unique(grams)
+        begin, count = self.at[met], self.at[met + 1] - self.at[met]
+        entries = np.arange(count.sum()) + np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        items, places = np.unique(self.items[entries], return_counts=True)
+        return items[places >= self.need[items]]
+
+    def diagonals(self, k: int, grams: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Where the item k would begin in a text, sorted: for each gram met, if enough are near enough for an alignment."""
+        own = self.own[k]
+        order = np.argsort(own, kind="stable")
+        low, high = np.searchsorted(own[order], grams, "left"), np.searchsorted(own[order], grams, "right")
+        count = high - low
+        entries = np.arange(count.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        begins = np.sort(np.repeat(places, count) - order[entries])
+        need = int(self.need[k])
+        if len(begins) < need:
+            return begins[:0]
+        near = np.flatnonzero(begins[need - 1 :] - begins[: len(begins) - need + 1] <= self.gaps(k))
+        marks = np.zeros(len(begins) + 1, np.int64)
+        np.add.at(marks, near, 1)
+        np.add.at(marks, near + need, -1)
+        return begins[np.cumsum(marks)[:-1] > 0]
+
+    def gaps(self, k: int) -> int:
+        """The most penalties an alignment with a sufficient score can have."""
+        return int(2 * len(self.words[k]) - self.least[k])
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -126,9 +152,28 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def shared_grams(df: DataFrame, items: Items) -> DataFrame:
-    """doc_id, words (int32 numbers of the vocabulary, -1 for others), grams and places (int32) of rows that share an n-gram with an item."""
+def best_alignment(items: Items, k: int, text: np.ndarray, begins: np.ndarray) -> tuple[int, int, int]:
+    """(score, first word, last word) of the best alignment of item k near the diagonals of a text."""
+    item, gaps, best = items.words[k], items.gaps(k), (0, 0, 0)
+    low = high = None
+    for begin in [*begins.tolist(), None]:
+        if low is not None and (begin is None or begin - gaps > high):
+            window = text[max(0, low) : high]
+            score, end = align(window, item)
+            if score > best[0]:
+                _, back = align(window[:end][::-1], item[::-1])
+                best = (score, max(0, low) + end - back, max(0, low) + end - 1)
+            low = None
+        if begin is not None:
+            low = begin - gaps if low is None else low
+            high = begin + len(item) + gaps
+    return best
+
+
+def aligned(df: DataFrame, items: Items) -> DataFrame:
+    """A row per row of df and item with a sufficient alignment."""
     sent = df.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("seeds", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -139,92 +184,32 @@ def shared_grams(df: DataFrame, items: Items) -> DataFrame:
                 table = np.fromiter((own.vocabulary.get(w, -1) for w in distinct.to_pylist()), np.int32, len(distinct))
                 every = table[codes] if len(codes) else np.zeros(0, np.int32)
                 out = []
-                # only texts with a run of enough known words can share an n-gram; runs may cross texts
-                runs = np.flatnonzero(np.diff(np.concatenate([[0], every >= 0, [0]]).astype(np.int8)))
-                begin, end = runs[::2], runs[1::2]
-                long = end - begin >= min([own.n, *own.short])
-                first, last = (np.searchsorted(offsets, x, "right") - 1 for x in (begin[long], end[long] - 1))
-                rows = sorted({k for x, y in zip(first.tolist(), last.tolist(), strict=True) for k in range(x, y + 1)})
-                for i in rows:
-                    part = every[offsets[i] : offsets[i + 1]]
-                    grams, places = own.hits(part)
-                    if len(grams):
-                        out.append((batch.column(0)[a + i].as_py(), part.tobytes(), grams.astype("<i4").tobytes(), places.astype("<i4").tobytes()))
+                for i in range(b - a):
+                    text = every[offsets[i] : offsets[i + 1]]
+                    grams, places = own.hits(text)
+                    if not len(grams):
+                        continue
+                    for k in own.candidates(grams).tolist():
+                        begins = own.diagonals(k, grams, places)
+                        score, first, last = best_alignment(own, k, text, begins)
+                        if len(begins) and score >= own.least[k]:
+                            out.append((batch.column(0)[a + i].as_py(), own.ids[k], score, score / (2 * len(own.words[k])), first, last, len(begins)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "words", "grams", "places"])
-
-    return texts(df).mapInArrow(run, "doc_id long, words binary, grams binary, places binary")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
+    return texts(df).mapInArrow(run, OUT)
 
-def frequencies(found: DataFrame, items: Items) -> np.ndarray:
-    """In how many rows each n-gram of the items occurs."""
-    size = len(items.hashes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                sums[np.unique(np.frombuffer(x.as_buffer(), "<i4"))] += 1
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["gram", "n"])
 
-    out = np.zeros(size, np.int64)
-    for r in found.select("grams").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        out[r["gram"]] = r["n"]
-    return out
-
-
-def aligned(found: DataFrame, items: Items, seeds: list[list[tuple[int, int]]], ratio: float) -> DataFrame:
-    sent = found.sparkSession.sparkContext.broadcast((items.words, items.ids, seeds))  # at most BLOCK_WORDS words
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("ratio", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("seeds", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_words, ids, by_gram = sent.value
-        for batch in batches:
-            out = []
-            for doc, text, grams, places in zip(*batch.columns, strict=True):
-                text = np.frombuffer(text.as_buffer(), np.int32)
-                starts: dict[int, list[int]] = {}
-                for gram, at in zip(np.frombuffer(grams.as_buffer(), "<i4").tolist(), np.frombuffer(places.as_buffer(), "<i4").tolist(), strict=True):
-                    for k, place in by_gram[gram]:
-                        starts.setdefault(k, []).append(at - place)
-                for k, begins in starts.items():
-                    item = item_words[k]
-                    size, most = len(item), 2 * len(item)
-                    best = (0, 0, 0)
-                    begins.sort()
-                    low = high = None
-                    # an alignment with a sufficient score has fewer gaps than the item has words
-                    for begin in [*begins, None]:
-                        if low is not None and (begin is None or begin - size > high):
-                            window = text[max(0, low) : high]
-                            score, end = align(window, item)
-                            if score > best[0]:
-                                _, back = align(window[:end][::-1], item[::-1])
-                                best = (score, max(0, low) + end - back, max(0, low) + end - 1)
-                            low = None
-                        if begin is not None:
-                            low = begin - size if low is None else low
-                            high = begin + 2 * size
-                    if best[0] >= ratio * most:
-                        out.append((doc.as_py(), ids[k], best[0], best[0] / most, best[1], best[2], len(begins)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return found.select("doc_id", "words", "grams", "places").mapInArrow(run, OUT)
-
-
-def contaminated(df: DataFrame, benchmark: DataFrame, n: int = N, stride: int = STRIDE, ratio: float = RATIO, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row per pair of document and test item with a sufficient alignment: doc_id, item_id, score, ratio of the score of a copy, first and last aligned word of the document, seeds met."""
+def contaminated(df: DataFrame, benchmark: DataFrame, ratio: float = RATIO, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row per pair of document and test item with a sufficient alignment: doc_id, item_id, score, ratio of the score of a copy, first and last aligned word of the document, seeds met (grams of the item near the alignment)."""
     rows = benchmark.select(F.col(item_key).cast("long").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     out, block, size = None, [], 0
     docs = texts(df, key, text)
     for r in [*rows.toLocalIterator(), None]:
         if block and (r is None or size >= BLOCK_WORDS):
-            items = Items(block, n)
+            items = Items(block, ratio)
             if len(items.hashes):
-                found = stored(shared_grams(docs, items), "shared-grams")
-                pairs = aligned(found, items, items.seeds(frequencies(found, items), stride), ratio)
+                pairs = aligned(docs, items)
                 out = pairs if out is None else out.unionByName(pairs)
             block, size = [], 0
         if r is not None:

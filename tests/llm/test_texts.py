@@ -143,6 +143,29 @@ def test_decontamination(spark, docs, none):
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    """Against alignment of every pair: copies with few words left between edits, alone in the corpus or among intact ones."""
+    items = {k: [f"w{(k * 37 + i * i * 7 + i) % 211}" for i in range(25 + k)] for k in range(4)} | {7: ["one", "two", "three"], 8: [f"s{i}" for i in range(6)]}
+
+    def edits(own):
+        for step in (3, 4, 5, 6):
+            yield [f"x{i}" if i % step == step - 1 else w for i, w in enumerate(own)]
+        yield [x for i, w in enumerate(own) for x in ([w, "extra"] if i % 2 else [w])]
+        yield [w for i, w in enumerate(own) if i % 5 != 4]
+        yield own[1:]
+
+    texts = [" ".join(["before", "it", *e, "behind"]) for own in items.values() for e in edits(own)] + [" ".join(items[0])] * 3 + [" ".join(items[1] + ["far"] * 90 + items[1][:20]), "w1 w2 one"]
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()}
+    number = defaultdict(lambda: len(number))
+    wanted = set()
+    for d, t in enumerate(texts):
+        for k, own in items.items():
+            best = align(np.array([number[w] for w in t.split()]), np.array([number[w] for w in own]))[0]
+            if best >= 0.6 * 2 * len(own):
+                wanted.add((d, k, best))
+    assert got == wanted and len(wanted) > 30
+
+
 def test_alignment_of_words():
     rng = np.random.default_rng(1)
     for _ in range(40):
