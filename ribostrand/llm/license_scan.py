@@ -1,8 +1,12 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text is lower-cased and cut into sentences at line ends and at . ! ? ; : before
-white space or the end; a sentence is normalised to its runs of a-z and 0-9 with
-single spaces between. Known sentences have identifiers. A document's
+A text is lower-cased and cut into pieces at line ends and at . ! ? ; : before
+white space or the end; a piece is normalised to its runs of a-z and 0-9 with
+single spaces between. A sentence is a piece, or several that follow each other
+with only soft cuts between: line ends (of wrapped lines), colons and the stop
+of "v."; other stops and lines without a-z and 0-9 always end it. Known
+sentences have identifiers; of two that start at one piece the longer counts,
+and the search goes on behind it. A document's
 identifiers, in order, are matched against the licence rules: a rule holds if
 its identifiers occur one after the other, without a known sentence between.
 The rules are ordered; the first that holds is the document's licence.
@@ -20,6 +24,12 @@ from pyspark.sql import functions as F
 
 CUT = r"[.!?;:]+(\s|\z)"
 PLAIN = "[^a-z0-9]+"
+# Hard and soft cuts as characters of the normalised text; patterns and what takes their place, in this order.
+HARD, SOFT = "\x01", "\x02"
+STEPS = [
+    (r"[\x01\x02]", " "), (r"\n[^a-z0-9\n]*+(?=\n)", "\n" + HARD), (r"(?<=\bv)\.\s", SOFT), (r"(?<![.!?;:]):++(?:\s|\z)", SOFT), (r"(?<![.!?;:])[.!?;:]++(?:\s|\z)", HARD),
+    (r"\n", SOFT), (r"[^a-z0-9\x01\x02]++", " "), (r"(?<![ \x02])[ \x02]*+\x01[ \x01\x02]*+", HARD), (r"(?<! ) ?\x02[ \x02]*+", SOFT), (r"^ | \z", ""),
+]
 
 # Wording of public licences and licence notices, as normalised sentences.
 SENTENCES = {
@@ -62,16 +72,20 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    cut = F.split(F.regexp_replace(F.lower(text), CUT, "\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, PLAIN, " ")))
+def normalised(text: Column) -> Column:
+    """The words of a text in order, with a space, a soft or a hard cut between."""
+    out = F.lower(text)
+    for pattern, instead in STEPS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(instead))
+    return out
 
 
 def identifiers(text: Column, known: dict[str, list[str]]) -> Column:
     """The identifiers of a text's known sentences, in order."""
     table = F.create_map(*[F.lit(x) for name, wordings in known.items() for w in wordings for x in (w, name)])
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull())
+    wordings = sorted({w for ws in known.values() for w in ws}, key=lambda w: (-len(w), w))
+    pattern = r"(?<![^\x01\x02])(?:" + "|".join(w.replace(" ", r"[ \x02]") for w in wordings) + r")(?![^\x01\x02])"
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(table, F.translate(s, SOFT, " ")))
 
 
 def license_scan(df: DataFrame, known: dict[str, list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,7 +102,7 @@ def license_scan(df: DataFrame, known: dict[str, list[str]] | None = None, rules
 
 
 def license_sql() -> str:
-    """The same over the table documents, in DuckDB SQL."""
+    """The same over the table documents, in DuckDB SQL, for known sentences without a soft cut inside: wrapped ones are beyond it."""
     table = ", ".join(f"'{w}': '{name}'" for name, wordings in SENTENCES.items() for w in wordings)
     holds = ", ".join(f"CASE WHEN contains(line, ',{','.join(ids)},') THEN '{name}' END" for name, ids in RULES)
     return f"""

@@ -10,7 +10,7 @@ import pytest
 
 from ribostrand.llm import jaccard as J
 from ribostrand.llm.decontamination import align, contaminated, decontaminate
-from ribostrand.llm.license_scan import license_scan, license_sql
+from ribostrand.llm.license_scan import SENTENCES, license_scan, license_sql
 from ribostrand.llm.line_dedup import dedup_lines, earlier_lengths
 from ribostrand.llm.toxicity import fit, held_out, score, toxicity
 
@@ -210,3 +210,25 @@ def test_license_scan(spark, docs, none):
     assert twin == Counter(tuple(r) for r in license_scan(more).collect())
     plan = license_scan(more)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+PUBLISHED = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"),
+    ("BSD-2-Clause", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n *\n * 1. Redistributions of source code must retain the above copyright notice, this\n *    list of conditions and the following disclaimer.\n *\n * 2. Redistributions in binary form must reproduce the above copyright notice,\n *    this list of conditions and the following disclaimer in the documentation\n *    and/or other materials provided with the distribution.\n"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice and this permission notice appear in all copies.\r\n"),
+    ("GPL-3.0-or-later", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one"),
+    ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */\n"), ("MIT", "Name: x\nLicense: MIT\nAuthor: y"),
+    (None, "This source code form is subject to the terms.\nOf the Mozilla Public License, v. 2.0"), (None, "released under\n\nthe MIT license"), (None, "not released under the MIT license"), (None, "released under the MIT license in part"), (None, "released. under the MIT license"),
+]
+
+
+def test_licenses_as_published(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(PUBLISHED)]
+    listed = [(name, w) for name, ws in SENTENCES.items() for w in ws]
+    for i, (_, w) in enumerate(listed):
+        own = w.split()
+        rows += [(1000 + 100 * i + k, "before it.\n" + " ".join(own[:k]) + "\n" + " ".join(own[k:]) + "\nbehind it") for k in range(1, len(own))]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["license"] for i in range(len(PUBLISHED))] == [name for name, _ in PUBLISHED]
+    assert all(got[d]["sentence_ids"] == listed[d // 100 - 10][0] for d, _ in rows if d >= 1000)
