@@ -45,3 +45,31 @@ def test_runs(spark, name):
 def test_plans_push_down(spark):
     plan = Q.QUERIES["tag_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan
+
+
+def test_whole_searches(spark, tmp_path):
+    """All pairs against brute force, with ids beyond 3000 and multiples of 11."""
+    from ribostrand.plans import testbed as B
+
+    ids = [0, 1, 7, 11, 22, 2999, 3000, 3001, 3003, 99_990, 99_999]
+    spark.createDataFrame([(i, i * 3 % 7) for i in ids], "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    targets = {r["target_id"]: r["seq"] for r in B.targets(spark, str(tmp_path)).collect()}
+    reads = {r["pair_id"]: r["r2"] for r in B.pairs(spark, str(tmp_path)).collect()}
+    assert sorted(reads) == ids
+    runs = set()
+    for i, q in reads.items():
+        for t, seq in targets.items():
+            for a in range(len(q)):
+                for p in range(len(seq)):
+                    if q[a] == seq[p] and (a == 0 or p == 0 or q[a - 1] != seq[p - 1]):
+                        n = next((k for k in range(min(len(q) - a, len(seq) - p)) if q[a + k] != seq[p + k]), min(len(q) - a, len(seq) - p))
+                        if n >= 20:
+                            runs.add((i, t, a, n, p))
+    got = {tuple(r) for r in Q.QUERIES["kmer_seed_join_whole"](spark, str(tmp_path)).collect()}
+    assert got == runs
+    most = {i: max(r[3] for r in runs if r[0] == i) for i in {r[0] for r in runs}}
+    wanted = {(i, n, len({r[1] for r in runs if r[0] == i and r[3] == n})) for i, n in most.items()}
+    assert {tuple(r) for r in Q.QUERIES["best_match_whole"](spark, str(tmp_path)).collect()} == wanted
+    found = {r["query_id"]: r["length"] for r in Q.QUERIES["find_partial_matches"](spark, str(tmp_path)).collect()}
+    assert {3003, 99_990, 11} <= set(most) <= set(found) and all(found[i] == n for i, n in most.items())
