@@ -2,7 +2,8 @@
 
 Targets are the first 120 nucleotides of benchmark texts, pairs are cut from
 them as a sequencer would show them (with substitutions and Ns at fixed event
-numbers), stop events come from events, result sets from lineitem.
+numbers), stop events come from events, result sets from lineitem. The SQL takes
+the first 40 items only, so it is the same up to 40 items (sf0.001 and sf0.01).
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "benchmark").where("item_id < 40")
+    rows = load(spark, sf_dir, "benchmark")
     return rows.select((F.col("item_id") + 1).cast("int").alias("target_id"), F.concat(F.lit("T"), F.col("item_id").cast("string")).alias("name"), F.substring(S.from_text("text"), 1, 120).alias("seq")).withColumn("n", F.length("seq"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, identifier, r1, r2, multiplicity and what they were made from: target_id, made_site."""
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 40 + 1).cast("int").alias("target_id"), (F.col("event_id") % 60).cast("int").alias("made_site"))
+    items = load(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("items"))  # a row; items are numbered from 0
+    e = load(spark, sf_dir, "events").crossJoin(F.broadcast(items)).select("event_id", "user_id", (F.col("user_id") % F.col("items") + 1).cast("int").alias("target_id"), (F.col("event_id") % 60).cast("int").alias("made_site"))
     e = e.join(targets(spark, sf_dir).select("target_id", "seq"), "target_id").withColumn("frag", F.substring("seq", F.col("made_site") + 1, F.length("seq")))
     e = e.withColumn("handle", F.when(F.col("event_id") % 3 == 0, "AAAT").when(F.col("event_id") % 3 == 1, "CCCG").otherwise("ACGT"))
     r1 = F.substring(F.concat("handle", S.reverse_complement("frag"), F.lit(ADAPTER_B)), 1, LENGTH)

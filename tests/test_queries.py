@@ -73,3 +73,16 @@ def test_whole_searches(spark, tmp_path):
     assert {tuple(r) for r in Q.QUERIES["best_match_whole"](spark, str(tmp_path)).collect()} == wanted
     found = {r["query_id"]: r["length"] for r in Q.QUERIES["find_partial_matches"](spark, str(tmp_path)).collect()}
     assert {3003, 99_990, 11} <= set(most) <= set(found) and all(found[i] == n for i, n in most.items())
+
+
+def test_all_items_are_targets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ribostrand.plans import testbed as B
+
+    spark.range(57).select(F.col("id").alias("item_id"), F.concat(F.lit("some text of an item "), F.repeat(F.lit("abcdefg hij "), 10)).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") * 5).alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["target_id"] for r in B.targets(spark, str(tmp_path)).collect()} == set(range(1, 58))
+    pairs = B.pairs(spark, str(tmp_path)).collect()
+    assert len(pairs) == 300 and all(r["target_id"] == r["pair_id"] * 5 % 57 + 1 for r in pairs)
+    assert {r["target_id"] for r in Q.QUERIES["kmer_index"](spark, str(tmp_path)).collect()} == set(range(1, 58))
