@@ -74,59 +74,101 @@ def ambiguous(table: DataFrame, keys: list[str], place: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.count_distinct(place).alias("places")).where("places > 1")
 
 
-def _hits(pairs: DataFrame, table: DataFrame, length: int) -> DataFrame:
-    """pair rows with their table rows; keys shorter than the read (a short adapter) match as its start, the first such key alone."""
+#: Tables of at most so many rows (short strings and numbers) are broadcast; larger ones are joined by their keys.
+MOST_BROADCAST = 500_000
+
+
+def _short_keys(config: RunConfig, length: int) -> bool:
+    """Can a key be shorter than what follows the handle? Only if the adapter ends before the read does."""
+    if config.cotrans:
+        return length - len(config.cotrans_linker) - 3 > len(config.adapter_b)
+    return 1 + len(config.dumbbell or "") + len(config.adapter_b) < length
+
+
+def _by_start(pairs: DataFrame, table: DataFrame, length: int) -> DataFrame:
+    """pair rows (all of them) with their table rows where keys may be short: a short key matches as the start of a read, the first such key alone."""
     body = F.substring("r1", F.lit(HANDLE + 1), F.length("r1"))
-    whole = pairs.join(table, body == F.col("key"))
+    known = pairs.where("mask is not null")
+    whole = known.join(table, body == F.col("key"))
     short = table.where(F.length("key") < length)
-    alias = whole.select("pair_id").distinct()
     shortest = short.agg(F.min(F.length("key")).alias("n"))
     prefix = short.join(F.broadcast(shortest)).withColumn("head", F.substring("key", F.lit(1), F.col("n")))  # one row
-    rest = pairs.join(alias, "pair_id", "left_anti").join(F.broadcast(shortest))  # one row
+    rest = known.join(whole.select("pair_id").distinct(), "pair_id", "left_anti").join(F.broadcast(shortest))  # one row
     partly = rest.withColumn("head", F.substring(body, F.lit(1), F.col("n"))).drop("n").join(prefix.drop("n"), "head").where(F.startswith(body, F.col("key"))).drop("head")
     first = Window.partitionBy("pair_id").orderBy("ord", "target_id", "key")
     partly = partly.withColumn("_first", F.first("key").over(first)).where(F.col("key") == F.col("_first")).drop("_first")
-    return whole.unionByName(partly)
+    found = whole.unionByName(partly)
+    return found.unionByName(pairs.join(found.select("pair_id").distinct(), "pair_id", "left_anti"), allowMissingColumns=True)
+
+
+def _rows_of(table: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the number of rows that share a row's keys."""
+    return table.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def _chosen(judged: DataFrame, config: RunConfig) -> DataFrame:
+    """One row of several for a pair: the first hit that passes, else what the last one failed on; hits that cannot be told apart reject the pair."""
+    every = Window.partitionBy("pair_id")
+    judged = judged.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "trim"))).withColumn("_multi", F.max("_n").over(every))
+    failure = F.when(F.col("_multi") > 1, MULTIPLE).otherwise(F.col("failure"))
+    if config.cotrans:
+        least = F.first("site").over(every.orderBy("ord", "target_id"))
+        failure = F.when(least < config.cotrans_minimum_length, COTRANS_MIN).otherwise(failure)
+    judged = judged.withColumn("failure", failure)
+    order = every.orderBy(F.col("failure").isNull().desc(), F.when(F.col("failure").isNull(), F.col("target_id")), F.when(F.col("failure").isNull(), F.col("ord")), F.col("target_id").desc(), F.col("ord").desc())
+    return judged.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_n", "_multi")
 
 
 def classify(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:
-    """Results of the lookup strategy."""
+    """Results of the lookup strategy, a row for each pair.
+
+    Pairs are joined once with the keys that R1 can show and once with those
+    that R2 can show. Where the tables are small enough to broadcast, pairs
+    whose keys name one row are not shuffled at all; only those with several
+    rows are gathered by pair_id, to choose among them.
+    """
     have = set(pairs.columns)
     weight = F.coalesce(F.col("multiplicity"), F.lit(1)).cast("long") if "multiplicity" in have else F.lit(1).cast("long")
     quality = [F.col(q) if q in have else F.lit(None).cast("string").alias(q) for q in ("r1_qual", "r2_qual")]
     pairs = pairs.where((F.length("r1") > 0) & (F.length("r2") > 0)).select("pair_id", F.upper("r1").alias("r1"), F.upper("r2").alias("r2"), *quality, weight.alias("multiplicity"))
     size = config.pair_length or (pairs.agg(F.max(F.length("r1")).alias("n")).first()["n"] or 36)
     masked = pairs.withColumn("mask", S.handle("r1", config.masks))
-    table = (cotrans_table if config.cotrans else r1_table)(targets, config, size)
-    second = r2_table(targets, config, size - HANDLE - (len(config.cotrans_linker) if config.cotrans else 0))
-    hits = _hits(masked.where("mask is not null"), table, size - HANDLE)
-    hits = hits.join(targets.select("target_id", "seq"), "target_id")
+    length = size - HANDLE
+    second_length = length - (len(config.cotrans_linker) if config.cotrans else 0)
+    bases = targets.agg(F.sum(F.length("seq").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows")).first()  # one row
+    each = 1 + (3 * length if config.count_mutations else 0)
+    places = (bases["n"] or 0) * length if config.cotrans else bases["rows"] * length
+    sized = lambda df, rows: F.broadcast(df) if rows <= MOST_BROADCAST else df
+    first = _rows_of((cotrans_table if config.cotrans else r1_table)(targets, config, size), ["key"], "_rows1")
+    first = first.join(sized(targets.select("target_id", "seq"), (bases["n"] or 0) // 100), "target_id")
+    second = r2_table(targets, config, second_length)
     lengths = second.select("target_id", "r2_len").distinct()
+    first = first.join(sized(lengths, bases["rows"]), "target_id", "left")
+    second = _rows_of(second.select("target_id", "key2", "r2_site").distinct(), ["target_id", "key2"], "_rows2")
+    if _short_keys(config, length):
+        hits = _by_start(masked, first, length).withColumn("_rows1", F.lit(2))
+    else:
+        body = F.when(F.col("mask").isNotNull(), F.substring("r1", F.lit(HANDLE + 1), F.length("r1")))
+        hits = masked.join(sized(first, places * each), body == F.col("key"), "left")
     asks = F.col("trim") == 0 if config.cotrans else F.col("site").isNull()
-    hits = hits.join(lengths, "target_id", "left").withColumn("key2", F.when(asks, F.substring("r2", F.lit(1), F.col("r2_len")))).drop("r2_len")
-    hits = hits.join(second.select("target_id", "key2", "r2_site").distinct(), ["target_id", "key2"], "left")
+    hits = hits.withColumn("key2", F.when(asks, F.substring("r2", F.lit(1), F.col("r2_len")))).drop("r2_len")
+    hits = hits.join(sized(second, (bases["n"] or 0) * each), ["target_id", "key2"], "left")
+    hit = F.col("target_id").isNotNull()
     judged = (_cotrans if config.cotrans else _single)(hits, config)
-    twice = Window.partitionBy("pair_id", "trim")
-    every = Window.partitionBy("pair_id")
-    judged = judged.withColumn("_n", F.count(F.lit(1)).over(twice)).withColumn("_multi", F.max("_n").over(every))
+    several = (F.coalesce("_rows1", F.lit(1)) > 1) | (F.coalesce("_rows2", F.lit(1)) > 1)
+    alone = judged.where(~several)
     if config.cotrans:
-        least = F.first("site").over(every.orderBy("ord", "target_id"))
-        judged = judged.withColumn("failure", F.when(least < config.cotrans_minimum_length, COTRANS_MIN).when(F.col("_multi") > 1, MULTIPLE).otherwise(F.col("failure")))
-    else:
-        judged = judged.withColumn("failure", F.when(F.col("_multi") > 1, MULTIPLE).otherwise(F.col("failure")))
-    # the first hit that passes, else what the last one failed on
-    order = every.orderBy(F.col("failure").isNull().desc(), F.when(F.col("failure").isNull(), F.col("target_id")), F.when(F.col("failure").isNull(), F.col("ord")), F.col("target_id").desc(), F.col("ord").desc())
-    chosen = judged.withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    good = F.col("failure").isNull()
-    found = chosen.select("pair_id", F.when(good, F.col("target_id")).alias("target_id"), F.when(good, F.col("_site")).alias("site"), F.when(good, F.col("_end")).alias("end"), "failure", F.when(good, F.col("_mutations")).alias("mutations"), F.when(good, F.col("_removed")).alias("removed_mutations"), F.lit(True).alias("_hit"))
-    out = masked.join(found, "pair_id", "left")
-    failure = F.when(F.col("mask").isNull(), MASK).when(F.col("_hit").isNull(), NO_MATCH).otherwise(F.col("failure"))
+        alone = alone.withColumn("failure", F.when(F.col("site") < config.cotrans_minimum_length, COTRANS_MIN).otherwise(F.col("failure")))
+    out = alone.unionByName(_chosen(judged.where(several), config))
+    good = hit & F.col("failure").isNull()
+    failure = F.when(F.col("mask").isNull(), MASK).when(~hit, NO_MATCH).otherwise(F.col("failure"))
     none = F.array().cast("array<int>")
     empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<struct<insert: boolean, seq: string, src_index: int, ambiguous: boolean>>"))
-    edge = F.when(F.array_contains(F.coalesce("mutations", none), F.col("site") + 1), F.lit(config.count_edge_mutations or "ignore"))
+    out = out.select("pair_id", F.when(good, F.col("target_id")).alias("target_id"), "mask", F.when(good, F.col("_site")).alias("site"), F.when(good, F.col("_end")).alias("end"), F.when(good, F.col("_mutations")).otherwise(none).alias("mutations"), F.when(good, F.col("_removed")).otherwise(none).alias("removed_mutations"), failure.alias("failure"), "multiplicity")
+    edge = F.when(F.array_contains("mutations", F.col("site") + 1), F.lit(config.count_edge_mutations or "ignore"))
     return out.select(
-        "pair_id", "target_id", "mask", "site", "end", F.coalesce("mutations", none).alias("mutations"), F.coalesce("removed_mutations", none).alias("removed_mutations"),
-        empty.alias("r1_indels"), empty.alias("r2_indels"), failure.alias("failure"), edge.alias("edge_mut"), F.lit(False).alias("edge_indel"), F.lit(False).alias("ambig_indel"), F.lit(False).alias("interesting"),
+        "pair_id", "target_id", "mask", "site", "end", "mutations", "removed_mutations",
+        empty.alias("r1_indels"), empty.alias("r2_indels"), "failure", edge.alias("edge_mut"), F.lit(False).alias("edge_indel"), F.lit(False).alias("ambig_indel"), F.lit(False).alias("interesting"),
         F.lit(None).cast("string").alias("prefix"), F.when(F.lit(config.cotrans), F.col("end")).alias("linker"), F.when(F.lit(bool(config.dumbbell)), F.col("site") - len(config.dumbbell or "")).alias("dumbbell"), "multiplicity",
         F.when(F.col("mask").isNotNull(), F.create_map(F.concat("mask", F.lit("_total")), "multiplicity")).otherwise(F.create_map(F.lit("mask_failure"), "multiplicity")).alias("counters"),
     )
