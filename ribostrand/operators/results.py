@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,19 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "pair_id").where(changed & ((F.col("site_a") != -1) | (F.col("site_b") != -1)))
 
 
+def both_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs on which two sets disagree, with kind: only_a (found in a alone), only_b, or different."""
+    names = ("target_id", "site", "end", "muts", "failure", "multiplicity")
+    left = a.select("pair_id", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = b.select("pair_id", *[F.col(c).alias(f"{c}_b") for c in names])
+    here, there = F.coalesce(F.col("site_a"), F.lit(-1)) != -1, F.coalesce(F.col("site_b"), F.lit(-1)) != -1
+    same = F.lit(True)
+    for c in ("site", "end", "target_id", "muts"):
+        same = same & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    kind = F.when(here & ~there, "only_a").when(~here & there, "only_b").when(here & there & ~same, "different")
+    return left.join(right, "pair_id", "full").withColumn("kind", kind).where("kind is not null")
+
+
 def diff_summary(diff: DataFrame) -> DataFrame:
     """One row: how many pairs (weighted) were lost, are new, or moved."""
     kinds = {"lost": (F.col("site_a") != -1) & (F.col("site_b") == -1), "gained": (F.col("site_a") == -1) & (F.col("site_b") != -1), "moved_site": (F.col("site_a") != -1) & (F.col("site_b") != -1) & (F.col("site_a") != F.col("site_b")), "moved_end": (F.col("site_a") != -1) & (F.col("site_b") != -1) & (F.col("end_a") != F.col("end_b"))}
@@ -95,6 +108,18 @@ def upsert_set(results: DataFrame, path: str, set_name: str, resume: bool = Fals
     rows.write.mode("append" if resume else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_name").parquet(path)
 
 
+def delete_set(spark: SparkSession, path: str, set_name: str) -> None:
+    """Remove a result set from the store below path; the others stay as they are."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path, "set_name=" + set_name)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def wipe(spark: SparkSession, path: str) -> None:
+    """Remove a whole store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def by_region(results: DataFrame, regions: DataFrame) -> DataFrame:
     """Rows whose site or mutations lie in a region (start, stop, inclusive) of a small table."""
     inside = F.exists("mutations", lambda m: m.between(F.col("start"), F.col("stop"))) | F.col("site").between(F.col("start"), F.col("stop"))

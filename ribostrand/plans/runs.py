@@ -28,13 +28,14 @@ class Run:
     @classmethod
     def process(cls, pairs: DataFrame, targets: DataFrame, config: RunConfig) -> Run:
         config = config.resolve()
+        pairs = pairs.limit(config.run_limit) if config.run_limit else pairs
         if "forced_mask" in pairs.columns:
-            parts = [K.classify(pairs.where(F.col("forced_mask") == m), targets, replace(config, force_mask=m)) for m in config.masks]
-            results = parts[0]
-            for p in parts[1:]:
-                results = results.unionByName(p)
+            # pairs without a known mask are read by their handles
+            results = K.classify(pairs.where(~F.coalesce(F.col("forced_mask").isin(*config.masks), F.lit(False))), targets, config)
+            for m in config.masks:
+                results = results.unionByName(K.classify(pairs.where(F.col("forced_mask") == m), targets, replace(config, force_mask=m)))
         else:
-            results = K.classify(pairs.limit(config.run_limit) if config.run_limit else pairs, targets, config)
+            results = K.classify(pairs, targets, config)
         return cls(config, targets, results, C.registered(results))
 
     def profiles(self) -> DataFrame:

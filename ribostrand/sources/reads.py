@@ -1,7 +1,9 @@
 """Read files as DataFrames: FASTQ pairs, FASTA, SAM, ABIF traces, tables.
 
 ``FastqPairs`` is a Spark data source (format ``fastq_pairs``): a partition for
-each file pair, R1 and R2 read in step, gzip by file name. Paths are opened
+each file pair, R1 and R2 read in step (records of the two files stand at
+different bytes), gzip by file name; large runs come as many file pairs.
+``FastqText`` (``fastq_text``) reads single files by byte ranges. Paths are opened
 through pyarrow's file systems, so shared stores work where executors reach them.
 """
 
@@ -9,36 +11,57 @@ from __future__ import annotations
 
 import gzip
 import io
+import os
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FASTQ = "pair_id long, identifier string, r1 string, r2 string, r1_qual string, r2_qual string, multiplicity long, channel string"
+FASTQ_NAMES = [x.split()[0] for x in FASTQ.split(", ")]
 
 
-def open_text(path: str) -> io.TextIOBase:
+#: Records in an Arrow batch, and bytes of plain text that one task reads.
+BATCH = 8192
+SPLIT_BYTES = 64 << 20
+
+
+def located(path: str):
+    """(file system, name in it) of a path or URI."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        system, name = fs.FileSystem.from_uri(path)
-        raw = system.open_input_stream(name, compression=None)
-    else:
-        raw = open(path, "rb")  # noqa: SIM115
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+def open_text(path: str) -> io.TextIOBase:
+    system, name = located(path)
+    raw = system.open_input_stream(name, compression=None)
     return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, encoding="ascii", errors="replace")
 
 
-def records(lines) -> Iterator[tuple[str, str, str]]:
-    """(identifier, sequence, quality) of four-line records; the first word of the header, without @."""
-    while True:
-        head = lines.readline()
-        if not head.strip():
+def records(lines) -> Iterator[tuple[list[str], list[str], list[str], list[str]]]:
+    """Heads, sequences, + lines and qualities of four-line records, BATCH at a time; an empty head ends the file."""
+    while block := [x.rstrip("\r\n") for x in islice(lines, 4 * BATCH)]:
+        end = next((i for i in range(0, len(block), 4) if not block[i].strip()), len(block))
+        last = end < len(block) or end < 4 * BATCH
+        block = block[:end] + [""] * (-end % 4)
+        if block:
+            yield block[::4], block[1::4], block[2::4], block[3::4]
+        if last:
             return
-        seq, _, quality = (lines.readline().rstrip("\r\n") for _ in range(3))
-        yield head.strip().split()[0].removeprefix("@"), seq, quality
+
+
+def first_words(heads: list[str]) -> list[str]:
+    return [h.split()[0].removeprefix("@") for h in heads]
+
+
+def paths_of(value: str) -> list[str]:
+    return [x.strip() for x in value.split(",") if x.strip()]
 
 
 class FilePair(InputPartition):
@@ -53,23 +76,32 @@ class FastqReader(DataSourceReader):
     def partitions(self) -> list[FilePair]:
         out: list[FilePair] = []
         for suffix, channel in (("", None), ("_plus", "treated"), ("_minus", "untreated")):
-            firsts, seconds = ([x.strip() for x in self.options.get(f"{r}{suffix}", "").split(",") if x.strip()] for r in ("r1", "r2"))
+            firsts, seconds = (paths_of(self.options.get(f"{r}{suffix}", "")) for r in ("r1", "r2"))
             if len(firsts) != len(seconds):
                 raise ValueError("as many R2 files as R1 files are needed")
             out += [FilePair(len(out) + i, a, b, channel) for i, (a, b) in enumerate(zip(firsts, seconds, strict=True))]
         return out
 
-    def read(self, part: FilePair) -> Iterator[tuple]:
-        strict, quality = self.options.get("strict", "false") == "true", self.options.get("quality", "true") == "true"
+    def read(self, part: FilePair) -> Iterator[pa.RecordBatch]:
+        on = lambda name, default: self.options.get(name, default) == "true"
+        nomask, quality = on("nomask", "false"), on("quality", "true")
+        strict, done = on("strict", "false") or nomask, 0
         with open_text(part.r1) as a, open_text(part.r2) as b:
-            for k, (x, y) in enumerate(zip(records(a), records(b), strict=False)):
-                if (strict or k == 0) and x[0] != y[0]:
-                    raise ValueError(f"record {k} of {part.r1} is {x[0]}, that of {part.r2} is {y[0]}")
-                yield ((part.number << 40) + k, x[0], x[1], y[1], x[2] if quality else None, y[2] if quality else None, 1, part.channel)
+            for x, y in zip(records(a), records(b), strict=False):
+                n = min(len(x[0]), len(y[0]))
+                names = [(first_words(heads[:n]), [p[1:] for p in plus[:n]]) for heads, _, plus, _ in (x, y)]
+                for k in range(n if strict else int(not done)):
+                    mine, other = ((w[0][k], w[1][k]) if nomask else w[0][k] for w in names)
+                    if mine != other:
+                        raise ValueError(f"record {done + k} of {part.r1} is {mine}, that of {part.r2} is {other}")
+                ids = [int(i) for i in names[0][0]] if nomask else range((part.number << 40) + done, (part.number << 40) + done + n)
+                columns = [ids, names[0][int(nomask)], x[1][:n], y[1][:n], x[3][:n] if quality else [None] * n, y[3][:n] if quality else [None] * n, [1] * n, [part.channel] * n]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()], strict=True)], names=FASTQ_NAMES)
+                done += n
 
 
 class FastqPairs(DataSource):
-    """Options: r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict (compare identifiers of all records, not only the first), quality."""
+    """Options: r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict (compare identifiers of all records, not only the first), quality; nomask (heads are numbers, which become pair_id, and the identifier stands on the + line; both must agree)."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,11 +114,76 @@ class FastqPairs(DataSource):
         return FastqReader(dict(self.options))
 
 
-def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = False, quality: bool = True, partitions: int = 0) -> DataFrame:
-    """Pairs of one or several file pairs; partitions spreads what single large files hold."""
+class Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int | None):
+        self.path, self.start, self.end = path, start, end
+
+
+def range_lines(part: Range) -> Iterator[str]:
+    """The lines of the records that begin in a byte range of a plain file (end None: all of a file, gzip by name).
+
+    The range may begin anywhere: a record begins at a line with @ of which the
+    second next begins with +. A quality line may begin with @ too, but a
+    sequence never begins with +.
+    """
+    if part.end is None:
+        with open_text(part.path) as whole:
+            yield from whole
+        return
+    system, name = located(part.path)
+    with system.open_input_file(name) as raw:
+        at = max(0, part.start - 1)
+        raw.seek(at)
+        lines = io.BufferedReader(raw, 1 << 20)
+        if part.start:
+            at += len(lines.readline())
+        held = list(islice(lines, 6)) if part.start else []
+        skip = next((i for i in range(len(held) - 2) if held[i].startswith(b"@") and held[i + 2].startswith(b"+")), 0 if not held else len(held))
+        at += sum(map(len, held[:skip]))
+        lines, k = chain(held[skip:], lines), 0
+        for line in lines:
+            if k % 4 == 0 and at >= part.end:
+                return
+            yield line.decode("ascii", "replace")
+            at, k = at + len(line), k + 1
+
+
+class FastqText(DataSource):
+    """Options: path (comma-separated files), split_bytes. Plain files are read by byte ranges, gzip files (which cannot be split) by one task each."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fastq_text"
+
+    def schema(self) -> str:
+        return "identifier string, seq string, quality string"
+
+    def reader(self, schema) -> FastqTextReader:
+        return FastqTextReader(dict(self.options))
+
+
+class FastqTextReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[Range]:
+        step, out = int(self.options.get("split_bytes", SPLIT_BYTES)), []
+        for path in paths_of(self.options["path"]):
+            system, name = located(path)
+            size = system.get_file_info(name).size
+            out += [Range(path, 0, None)] if path.endswith(".gz") else [Range(path, at, at + step) for at in range(0, size, step)]
+        return out
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        for heads, seqs, _, qualities in records(range_lines(part)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (first_words(heads), seqs, qualities)], names=["identifier", "seq", "quality"])
+
+
+def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = False, quality: bool = True, partitions: int = 0, nomask: bool = False) -> DataFrame:
+    """Pairs of one or several file pairs; partitions spreads what single large files hold; nomask: see FastqPairs."""
     spark.dataSource.register(FastqPairs)
     joined = [",".join(x) if isinstance(x, list) else x for x in (r1, r2)]
-    out = spark.read.format("fastq_pairs").options(r1=joined[0], r2=joined[1], strict=str(strict).lower(), quality=str(quality).lower()).load()
+    out = spark.read.format("fastq_pairs").options(r1=joined[0], r2=joined[1], strict=str(strict).lower(), quality=str(quality).lower(), nomask=str(nomask).lower()).load()
     return out.repartition(partitions) if partitions else out
 
 
@@ -129,13 +226,10 @@ def read_reactivities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
-def read_text_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """identifier, seq, quality of plain FASTQ text by record number (files that Spark splits)."""
-    lines = spark.read.text(path, wholetext=False).withColumn("line", F.monotonically_increasing_id())
-    # line numbers are dense within a partition; one file of text keeps its order
-    numbered = lines.withColumn("k", F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("line")) - 1)
-    grouped = numbered.groupBy(F.spark_partition_id().alias("part"), F.floor(F.col("k") / 4).alias("record")).agg(*[F.max(F.when(F.col("k") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(("identifier", "seq", "plus", "quality"))])
-    return grouped.select(F.regexp_replace(F.split("identifier", " ")[0], "^@", "").alias("identifier"), "seq", "quality")
+def read_text_fastq(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """identifier, seq, quality of FASTQ text; a task for each split_bytes of a plain file."""
+    spark.dataSource.register(FastqText)
+    return spark.read.format("fastq_text").options(path=",".join(path) if isinstance(path, list) else path, split_bytes=str(split_bytes)).load()
 
 
 # Element sizes of the ABIF directory's number types.
