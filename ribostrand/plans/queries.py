@@ -144,11 +144,6 @@ def _queries(spark, d):
     return B.pairs(spark, d).select(F.col("pair_id").alias("query_id"), F.col("r2").alias("seq"))
 
 
-def _twin_queries(spark, d):
-    """The part of the pairs that the DuckDB twins of kmer_seed_join and best_match search."""
-    return _queries(spark, d).where("query_id % 11 <> 0 AND query_id < 3000")
-
-
 # R2 reads of 36 bases: check sites for 20 and for 10 bases, seeds of 8, extension to both sides
 def _seed_sql(need: int) -> str:
     step = max(need - 8, 1)
@@ -158,26 +153,16 @@ def _seed_sql(need: int) -> str:
   SELECT query_id, target_id, site, pos,
     coalesce((SELECT min(i) FROM range(0, 36) t(i) WHERE i >= least(site, pos) OR substring(q, site - CAST(i AS INTEGER), 1) <> substring(seq, pos - CAST(i AS INTEGER), 1)), 0) AS a,
     coalesce((SELECT min(i) FROM range(0, 36) t(i) WHERE i >= least(36 - site - 8, length(seq) - pos - 8) OR substring(q, site + 9 + CAST(i AS INTEGER), 1) <> substring(seq, pos + 9 + CAST(i AS INTEGER), 1)), 0) AS b
-  FROM (SELECT pair_id AS query_id, r2 AS q, unnest({sites}) AS site FROM pr WHERE pair_id % 11 <> 0 AND pair_id < 3000) s JOIN km ON km.word = substring(q, site + 1, 8) JOIN tgt USING (target_id)) WHERE a + b + 8 >= {need}"""
+  FROM (SELECT pair_id AS query_id, r2 AS q, unnest({sites}) AS site FROM pr) s JOIN km ON km.word = substring(q, site + 1, 8) JOIN tgt USING (target_id)) WHERE a + b + 8 >= {need}"""
 
 
 @query(B.sql(f"SELECT query_id, target_id, CAST(q_start AS INTEGER) AS q_start, CAST(length AS INTEGER) AS length, CAST(t_start AS INTEGER) AS t_start FROM ({_seed_sql(20)})", _KMERS))
 def kmer_seed_join(spark, d):
-    return I.seed_hits(_twin_queries(spark, d), B.targets(spark, d), 20).select("query_id", "target_id", "q_start", "length", "t_start")
+    return I.seed_hits(_queries(spark, d), B.targets(spark, d), 20).select("query_id", "target_id", "q_start", "length", "t_start")
 
 
 @query(B.sql(f"""SELECT query_id, CAST(max(length) AS INTEGER) AS length, CAST(count(DISTINCT target_id) FILTER (WHERE length = most) AS INTEGER) AS n_targets FROM (SELECT *, max(length) OVER (PARTITION BY query_id) AS most FROM ({_seed_sql(20)})) GROUP BY query_id""", _KMERS))
 def best_match(spark, d):
-    return I.best_match(I.seed_hits(_twin_queries(spark, d), B.targets(spark, d), 20)).select("query_id", "length", "n_targets")
-
-
-@query()
-def kmer_seed_join_whole(spark, d):
-    return I.seed_hits(_queries(spark, d), B.targets(spark, d), 20).select("query_id", "target_id", "q_start", "length", "t_start")
-
-
-@query()
-def best_match_whole(spark, d):
     return I.best_match(I.seed_hits(_queries(spark, d), B.targets(spark, d), 20)).select("query_id", "length", "n_targets")
 
 

@@ -66,11 +66,11 @@ def test_whole_searches(spark, tmp_path):
                         n = next((k for k in range(min(len(q) - a, len(seq) - p)) if q[a + k] != seq[p + k]), min(len(q) - a, len(seq) - p))
                         if n >= 20:
                             runs.add((i, t, a, n, p))
-    got = {tuple(r) for r in Q.QUERIES["kmer_seed_join_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in Q.QUERIES["kmer_seed_join"](spark, str(tmp_path)).collect()}
     assert got == runs
     most = {i: max(r[3] for r in runs if r[0] == i) for i in {r[0] for r in runs}}
     wanted = {(i, n, len({r[1] for r in runs if r[0] == i and r[3] == n})) for i, n in most.items()}
-    assert {tuple(r) for r in Q.QUERIES["best_match_whole"](spark, str(tmp_path)).collect()} == wanted
+    assert {tuple(r) for r in Q.QUERIES["best_match"](spark, str(tmp_path)).collect()} == wanted
     found = {r["query_id"]: r["length"] for r in Q.QUERIES["find_partial_matches"](spark, str(tmp_path)).collect()}
     assert {3003, 99_990, 11} <= set(most) <= set(found) and all(found[i] == n for i, n in most.items())
 
