@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
+import re
 import tempfile
 import uuid
 
@@ -18,25 +22,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_local_roots: dict[str, str] = {}
+_swept: set[str] = set()
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir of the session, or what setCheckpointDir was given.
 
-    Only where that setting is absent (a single machine, as in tests) a local
-    temporary folder stands in for it.
+    Only where neither is set and all tasks run in this process (a local
+    master, as in tests) a temporary folder stands in for it; a cluster without
+    a shared folder is an error. A path without a scheme is one of Hadoop's
+    default file system.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ribostrand-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local_roots.get(context.applicationId)
+        if root is None:
+            root = _local_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="ribostrand-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", uri).rstrip("/")
+
+
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; it goes when the interpreter ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _swept:
+        _swept.add(app)
+        atexit.register(_sweep_quietly, spark)
+    return f"{shared_root(spark)}/ribostrand-{app}"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, as a URI."""
-    root = shared_root(spark)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root if root.startswith("/") else root
-    return f"{root}/ribostrand/{name}-{uuid.uuid4().hex}"
+    return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all work files of this application; results that still read them can no longer be computed."""
+    _delete(spark, work_root(spark))
+    local = _local_roots.pop(spark.sparkContext.applicationId, None)
+    if local:
+        _delete(spark, local)
+
+
+def _sweep_quietly(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session was stopped, and with it the way to the files
+        with contextlib.suppress(Exception):
+            sweep(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,11 +89,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Delete the files of stored tables that nothing reads any more; shuffles: let Spark drop the shuffle files of finished jobs too."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+    if shuffles:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def filesystem(uri: str):
@@ -113,12 +156,31 @@ def split_by_ids(df: DataFrame, key: str, ids: DataFrame, column: str) -> tuple[
     ids must be cheap to read again.
     """
     bits = bitmap(ids.select(F.xxhash64(F.col(column).cast("long")).alias("mix")), "mix")
-    test = in_bitmap(df.sparkSession, bits, F.xxhash64(F.col(key).cast("long")))
-    flagged = df.withColumn("_may", test)
-    return flagged.where("_may").drop("_may"), flagged.where("not _may").drop("_may")
+    return split_by_bits(df, F.xxhash64(F.col(key).cast("long")), bits)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def split_by_bits(df: DataFrame, mix: Column, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose mix passes the bitmap, the others)."""
+    may = fresh(df, "_may")
+    flagged = df.withColumn(may, in_bitmap(df.sparkSession, bits, mix))
+    return flagged.where(F.col(may)).drop(may), flagged.where(~F.col(may)).drop(may)
+
+
+def text_hash(text: str) -> Column:
+    """A hash of the text of a row (a null text counts as empty)."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def without(df: DataFrame, key: str, ids: DataFrame, column: str) -> DataFrame:
-    """The rows of df whose key is not among ids (stored); rows with a null key stay."""
-    some, rest = split_by_ids(df, key, ids, column)
-    return rest.unionByName(some.join(ids.select(F.col(column).alias("_without")).where("_without is not null").distinct(), F.col(key).cast("long") == F.col("_without"), "left_anti"))
+def without(df: DataFrame, mix: Column, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose mix (a well-mixed long, never null) is not in a column of gone (stored)."""
+    some, rest = split_by_bits(df, mix, bitmap(gone, column))
+    name = fresh(df, "_without")
+    return rest.unionByName(some.join(gone.select(F.col(column).alias(name)).distinct(), mix == F.col(name), "left_anti"))
