@@ -15,17 +15,35 @@ that no pair is lost. ``spare`` minimises the expected number of index entries
 A set is indexed in its own band and, if a larger partner may lie in the next
 one, also there. Sets that are equal are one class, found by grouping on a
 128-bit digest, so copies are never expanded. Sets that share fewer entries of a
-band than any link needs are dropped. Within an index entry the members
-are first compared with one representative; entries whose members are already
-connected need no more, and the remaining ones are compared across components,
-round by round, until every pair of different components that meets anywhere has been verified
-exactly. Components are closed by distributed label propagation.
+band than any link needs are dropped.
+
+Of a set's entries as many of the largest are left out as it must share anyway.
+Within an index entry no pairs are formed. Its members are compared with one of
+them, the hub, and what each member differs in from the hub is its delta. As
+|A d B| = |a d b| for the deltas a, b of A and B (d: symmetric difference), two
+members link if and only if e(A) + e(B) <= 2 (100 + t) |a n b| with
+e(A) = (100 + t) |a| - (100 - t) |A|. Members that link with the hub are
+connected by it. Of any other linked pair one member is far from the hub, so
+the deltas share so many elements that both have one among their first few in
+an order of rising frequency: deltas are indexed by (hub, element) in such
+prefixes, the far member of the pair by the longer one. Large groups of near
+copies thereby meet in what few of them share, not in what all have in common.
+Entries of this kind that are still large get hubs of their own, level by level;
+small ones give pairs, which are verified exactly unless what follows the
+element in the two deltas is too short for a link. At each level, entries whose
+members are connected already go. Components are closed by distributed label
+propagation.
+
+Nodes are rows: rows that share a key but not a set are nodes of their own, and
+a component is named by the smallest key in it.
 
 Edge cases: null and empty texts, and texts without words, have no elements and
 link with nothing; texts with fewer words than n have the whole sequence as one
-element; repeated rows (same key, same text) are one class; empty tables give
-empty results; extra columns are ignored; a null key is kept with itself as
-component.
+element; very long texts are handled by slices, only their sets are held whole;
+repeated rows (same key, same text) are one class; ties go to the smaller key;
+empty tables give empty results; extra columns are ignored (and kept, whatever
+their names, by ``representatives``); a row with a null key is no node and gets
+a null component.
 """
 
 from __future__ import annotations
@@ -43,10 +61,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import bitmap, discard, passes, stored, texts
+from .common import bitmap, discard, passes, split_by_ids, stored, text_hash, texts
 
 LIGHT = 1
-ROUNDS = 3
+#: Entries of deltas with at most FEW pairs for each member give pairs; others get hubs, for at most LEVELS levels.
+FEW = 128
+LEVELS = 2
+#: So many links are contracted in one task.
+LOCAL = 500_000
+#: Frequencies that order elements are counted in 2**SKETCH_BITS counters, a constant.
+SKETCH_BITS = 16
+INDEX, PROBE = 1, 2
 MULT = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -171,7 +196,7 @@ def keys(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]
 
 
 def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128-bit digest of the set, null if empty) and bands (band, need, entries of the index) for each row."""
+    """doc_id, t (hash of the text), n_shingles, h1, h2 (128-bit digest of the set, null if empty) and bands (band, need, entries of the index) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band_type = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("entries", pa.list_(pa.int64()))])
@@ -187,31 +212,31 @@ def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
                 entries = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in flat)]).view(np.int64)))
                 bands = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), entries], fields=list(band_type))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(outer), bands)],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(outer), bands)],
+                    ["doc_id", "t", "n_shingles", "h1", "h2", "bands"],
                 )
 
-    return texts(df, key, text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<struct<band: long, need: long, entries: array<long>>>")
+    return texts(df, key, text).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<struct<band: long, need: long, entries: array<long>>>")
 
 
 def members(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, h1, h2, band, need, entry of the entries that pass the bitmap."""
+    """h1, h2, band, need, entry of the entries that pass the bitmap."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(5)
+            lists = batch.column(4)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(passes(sent.value, values))
             row = pa.array(np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, "right") - 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(5)), pa.array(values[at])], ["doc_id", "h1", "h2", "band", "need", "entry"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(4)), pa.array(values[at])], ["h1", "h2", "band", "need", "entry"])
 
-    flat = rows.select("doc_id", "h1", "h2", F.explode("bands").alias("b")).select("doc_id", "h1", "h2", "b.band", "b.need", "b.entries")
-    return flat.mapInArrow(run, "doc_id long, h1 long, h2 long, band long, need long, entry long")
+    flat = rows.select("h1", "h2", F.explode("bands").alias("b")).select("h1", "h2", "b.band", "b.need", "b.entries")
+    return flat.mapInArrow(run, "h1 long, h2 long, band long, need long, entry long")
 
 
 def set_bytes(df: DataFrame, n: int, bits: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, h1, h2, elements (sorted little-endian 64-bit hashes) of the rows whose key passes the bitmap."""
+    """doc_id, h1, h2, elements (sorted little-endian 64-bit hashes) of the rows whose key passes the bitmap."""
     sent = df.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +246,9 @@ def set_bytes(df: DataFrame, n: int, bits: np.ndarray, key: str = "doc_id", text
             for a, b in slices(column):
                 sets = shingles(column.slice(a, b - a), n)
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "h1", "h2", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h1", "h2", "elements"])
 
-    return texts(df, key, text).withColumn("mix", F.xxhash64("doc_id")).mapInArrow(run, "id long, h1 long, h2 long, elements binary")
+    return texts(df, key, text).withColumn("mix", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, h1 long, h2 long, elements binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -235,118 +260,292 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) with 100 * |common| >= percent * |all|."""
+def sketch(sets: DataFrame) -> np.ndarray:
+    """How often elements occur, summed by the low bits of their hashes: an order that puts frequent elements last, nothing more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            for raw in batch.column(0):
+                sums += np.bincount((np.frombuffer(raw.as_buffer(), np.uint64) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in sets.select("elements").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def prefixes(a: np.ndarray, h: np.ndarray, percent: int, seen: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+    """Of a set and its hub: (its delta, rarest elements first, e, length of the prefix to be met, length of the prefix that meets).
+
+    A set that links with the hub is only met. The delta's order is the same
+    for all sets of a hub: elements that are not the hub's by rising frequency,
+    then those of the hub that are missing, by falling frequency.
+    """
+    more, less = a[~present(a, h)], h[~present(h, a)]
+    up, down = 100 + percent, 100 - percent
+    e = up * (len(more) + len(less)) - down * len(a)
+    bound = down * len(h)  # e beyond it: no link with the hub
+    mask = np.uint64((1 << SKETCH_BITS) - 1)
+    more = more[np.lexsort((more, seen[(more & mask).astype(np.int64)]))]
+    less = less[np.lexsort((less, -seen[(less & mask).astype(np.int64)]))]
+    delta = np.concatenate([more, less])
+    both = max(1, -((-e - max(e, bound + 1)) // (2 * up)))
+    met = max(0, len(delta) - both + 1)
+    meets = max(0, len(delta) - max(1, -((bound - e) // 200)) + 1) if e > bound else 0
+    return delta, e, met, meets
+
+
+def present(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of a sorted array are in another sorted one."""
+    if not len(b):
+        return np.zeros(len(a), bool)
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return b[at] == a
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int, seen: np.ndarray | None = None) -> DataFrame:
+    """pairs: id, hub, wide. Of each linked pair a row id, hub; with seen, of the wide ones also rows element, e, cap, role: the prefixes of their deltas. cap: a partner with a larger e has too little in common from this element on."""
+    sent = None if seen is None else sets.sparkSession.sparkContext.broadcast(seen)  # a counter a bucket
+    schema = pa.schema([("id", pa.int64()), ("hub", pa.int64()), ("element", pa.int64()), ("e", pa.int64()), ("cap", pa.int64()), ("role", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links, out, size = [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                first = [(np.array([p[i] for p in links], np.int64)) for i in (0, 1)]
+                blank = pa.nulls(len(links), pa.int64())
+                columns = [pa.array(np.concatenate([f, *(c[i] for c in out)])) for i, f in enumerate(first)]
+                columns += [pa.concat_arrays([blank.cast(f.type), pa.array(np.concatenate([np.zeros(0, np.int64), *(c[i] for c in out)]), f.type)]) for i, f in enumerate(schema) if i > 1]
+                return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+            for x, h, wide, a, b in zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), batch.column(3), batch.column(4), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = common(a, b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["x", "y"])
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    links.append((x, h))
+                if wide and sent is not None:
+                    delta, e, met, meets = prefixes(a, b, percent, sent.value)
+                    n = max(met, meets)
+                    role = np.where(np.arange(n) < met, INDEX, 0) + np.where(np.arange(n) < meets, PROBE, 0)
+                    cap = 2 * (100 + percent) * (len(delta) - np.arange(n)) - e
+                    out.append((np.full(n, x), np.full(n, h), delta[:n].view(np.int64), np.full(n, e), cap, role))
+                    size += n
+                if size > 1 << 18:
+                    yield rows()
+                    links, out, size = [], [], 0
+            if links or out:
+                yield rows()
+
+    left = sets.select("id", F.col("elements").alias("a"))
+    right = sets.select(F.col("id").alias("hub"), F.col("elements").alias("b"))
+    return pairs.join(left, "id").join(right, "hub").select("id", "hub", "wide", "a", "b").mapInArrow(run, "id long, hub long, element long, e long, cap long, role int")
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """x, y: the nodes of each partition's links with the smallest node of their component in that partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
 
-    left = sets.select(F.col("id").alias("x"), F.col("elements").alias("a"))
-    right = sets.select(F.col("id").alias("y"), F.col("elements").alias("b"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(x), root(y)
+                up[max(a, b)] = min(a, b)
+        rows = [(x, y) for x in up if (y := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["x", "y"])
+
+    return links.select("x", "y").mapInArrow(run, "x long, y long")
 
 
 def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """id, component (the smallest id reachable) of the ids in links: connected components by alternating star contraction."""
-    links = stored(links.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).where("x <> y").distinct(), "links")
+    """id, component (the smallest id reachable) of the ids in links that are not the smallest of theirs.
+
+    Links are contracted within tasks of about LOCAL links; as long as there
+    are more than that, alternating star contraction shuffles them in between.
+    """
+    links = stored(contracted(links.select(F.col(x).alias("x"), F.col(y).alias("y"))), "links")
     sign = F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.xxhash64("y", "x") % 1000003)
     now, before = tuple(links.agg(*sign).first()), None
-    while now != before and now[0]:
+    while now != before and now[0] > LOCAL:
         # large star: the neighbours above a node point to the least one around it
         both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = stored(large, "links")
+        large, before_ = stored(large, "links"), links
         # small star: a node and its neighbours below point to the least of them
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         links = stored(small.unionByName(least.select("x", F.col("m").alias("y"))).distinct(), "links")
+        discard(large, before_)
         now, before = tuple(links.agg(*sign).first()), now
+    if now != before and now[0]:
+        links, before_ = stored(contracted(links.coalesce(1)), "links"), links  # at most LOCAL links
+        discard(before_)
     return links.select(F.col("x").alias("id"), F.col("y").alias("component"))
 
 
 def open_entries(index: DataFrame, found: DataFrame) -> DataFrame:
-    """The index (entry, id, size, band, need) with components, without entries whose members are connected, and without sets that share too few of the other entries for a link."""
+    """The index (entry, id, band, need) with components, without entries whose members are connected, and without sets that share too few of the other entries for a link."""
     named = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_ = named.groupBy("entry").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("entry")
-    rest = stored(named.join(mixed_, "entry").select("entry", "id", "size", "band", "need", "component"), "open")
+    rest = stored(named.join(mixed_, "entry").select("entry", "id", "band", "need", "component"), "open")
     enough = rest.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where("n >= least").select("id", "band", "n")
-    return stored(rest.join(enough, ["id", "band"]), "open")
+    out = stored(rest.join(enough, ["id", "band"]), "open")
+    discard(rest)
+    return out
 
 
-def prefixes(rest: DataFrame) -> DataFrame:
-    """Of each set's n entries of a band the first n - need + 1 in one order for all: two linked sets share one of those."""
-    order = Window.partitionBy("id", "band").orderBy(F.xxhash64("entry"), "entry")
-    return rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.col("need") + 1).drop("k")
+def rarest(rest: DataFrame) -> DataFrame:
+    """Of each set's n entries of a band the first n - need + 1 in one order for all, small ones first: two linked sets share one of those."""
+    sizes = rest.groupBy("entry").agg(F.count(F.lit(1)).alias("members"))
+    order = Window.partitionBy("id", "band").orderBy("members", F.xxhash64("entry"), "entry")
+    return rest.join(sizes, "entry").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.col("need") + 1).drop("k", "members")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """x < y, once each, of two frames with entry, id, size, component: sizes allow a link, components differ, not tested yet."""
-    a = left.select("entry", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "component")))
-    b = right.select("entry", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "component")))
-    near = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = a.join(b, "entry").where(near).select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y")).distinct()
-    return pairs.join(tested, ["x", "y"], "left_anti")
+def hubs_of(rows: DataFrame) -> DataFrame:
+    """entry, hub, hub_component: the member that comes first in rows (entry, id, order, component)."""
+    best = rows.groupBy("entry").agg(F.min_by(F.struct("id", "component"), F.struct("order", "id")).alias("h"))
+    return best.select("entry", F.col("h.id").alias("hub"), F.col("h.component").alias("hub_component"))
 
 
-def best_hubs(rest: DataFrame, step: int, tested: DataFrame, percent: int) -> DataFrame:
-    """x < y: each member with the one hub with which it shares most entries; an entry's hub is one of its members, another one in each step."""
-    order = F.struct(F.xxhash64("id", F.lit(step)) if step else F.col("id"), F.col("id"))
-    hub = rest.groupBy("entry").agg(F.min_by(F.struct("id", "size", "component"), order).alias("h")).select("entry", F.col("h.id").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.component").alias("hub_component"))
-    near = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("component") != F.col("hub_component"))
-    shared = rest.join(hub, "entry").where(near).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y"), "id", "hub", "n").join(tested, ["x", "y"], "left_anti")
-    best = shared.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    return best.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
+def best_hubs(rest: DataFrame) -> DataFrame:
+    """id, hub, wide: each member with the one hub with which it shares most entries."""
+    rows = rest.withColumn("order", -F.col("n"))
+    shared = rows.join(hubs_of(rows), "entry").where("component <> hub_component").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).withColumn("wide", F.lit(False))
 
 
-def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """id, component of the linked ids of an index (entry, id, size)."""
-    spark = index.sparkSession
-    links = tested = spark.createDataFrame([], "x long, y long")
-    found = spark.createDataFrame([], "id long, component long")
-    rest = index
-    for step in range(ROUNDS + 1):
-        # an entry whose members are connected stays so
-        rest = open_entries(rest.select("entry", "id", "size", "band", "need"), found)
-        if rest.isEmpty():
-            break
-        # first one partner for each member, at last all pairs that still lie in different components
-        if step < ROUNDS:
-            pairs = best_hubs(rest, step, tested, percent)
-        else:
-            few = stored(prefixes(rest), "prefixes")
-            pairs = candidate_pairs(few, few, tested, percent)
-        pairs = stored(pairs, "pairs")
-        links = stored(links.unionByName(verified(pairs, sets, percent)), "links")
-        tested = tested.unionByName(pairs)
-        found = components(links)
-    return found
+def all_hubs(rows: DataFrame) -> DataFrame:
+    """id, hub: each member with the hubs of all its entries."""
+    return rows.join(hubs_of(rows), "entry").where("id <> hub").select("id", "hub").distinct()
 
 
-def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of df: key, n_shingles, component_id (the smallest key reachable by links)."""
+def with_width(pairs: DataFrame) -> DataFrame:
+    """Adds wide: does the hub have other members too?"""
+    several = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", (F.col("n") > 1).alias("wide"))
+    return pairs.join(several, "hub").select("id", "hub", "wide")
+
+
+def live(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows (entry, id, e, cap, role) those that can have a partner in their entry, by role, cap and component; adds component and few: are there at most FEW pairs for each row of the entry?"""
+    met, meets = F.col("role").bitwiseAND(INDEX) > 0, F.col("role").bitwiseAND(PROBE) > 0
+    open_ = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(met, F.col("cap"))).alias("of_met"), F.max(F.when(meets, F.col("cap"))).alias("of_meets")).where("n > 1 and of_met is not null and of_meets is not null")
+    role = F.when(met & (F.col("e") <= F.col("of_meets")), INDEX).otherwise(0) + F.when(meets & (F.col("e") <= F.col("of_met")), PROBE).otherwise(0)
+    able = rows.join(open_, "entry").withColumn("role", role).where("role > 0").select("entry", "id", "e", "cap", "role")
+    named = stored(able.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "met")
+    both = named.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.sum(met.cast("long")).alias("i"), F.sum(meets.cast("long")).alias("p"), F.min("component").alias("a"), F.max("component").alias("b"))
+    several = both.where("a < b and i > 0 and p > 0").select("entry", (F.col("i") * F.col("p") <= FEW * F.col("n")).alias("few"))
+    out = stored(named.join(several, "entry").select("entry", "id", "e", "cap", "role", "few", "component"), "live")
+    discard(named)
+    return out
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """id, hub, wide: the pairs of rows (entry, id, e, cap, role, component) that may link; at most FEW for each row of the entries with few."""
+    met = rows.where(F.col("role").bitwiseAND(INDEX) > 0).select("entry", F.col("id").alias("hub"), F.col("e").alias("hub_e"), F.col("cap").alias("hub_cap"), F.col("component").alias("hub_component"))
+    meets = rows.where(F.col("role").bitwiseAND(PROBE) > 0).select("entry", "id", "e", "cap", "component")
+    either = (F.col("component") != F.col("hub_component")) & ((F.col("e") > F.col("hub_e")) | ((F.col("e") == F.col("hub_e")) & (F.col("id") > F.col("hub"))))
+    return meets.join(met, "entry").where(either & (F.col("e") <= F.col("hub_cap")) & (F.col("hub_e") <= F.col("cap"))).select("id", "hub").distinct().withColumn("wide", F.lit(False))
+
+
+def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, component of the linked ids of an index of open entries (entry, id, band, need, component, n); ids that name a component are left out."""
+
+    def linked(out: DataFrame) -> DataFrame:
+        return out.where("role is null").select("id", "hub")
+
+    # first one partner for each member: it connects most of what is connected
+    out = stored(compared(best_hubs(index), sets, percent), "compared")
+    found = components(linked(out), "id", "hub")
+    rest = open_entries(index.select("entry", "id", "band", "need"), found)
+    discard(out)
+    if rest.isEmpty():
+        return found
+    rows = stored(rarest(rest), "rarest")
+    discard(rest)
+    rest, rows = rows, rows.select("entry", "id", "component", (-F.col("n")).alias("order"))
+    seen = sketch(sets.join(rest.select("id").distinct(), "id", "left_semi"))
+    for level in range(LEVELS + 1):
+        pairs = stored(all_hubs(rows), "hubs")
+        out = stored(compared(with_width(pairs), sets, percent, seen), "compared")
+        discard(rest, pairs)
+        found = merged(found, linked(out))
+        rest = live(out.where("role is not null").select(F.xxhash64("hub", "element").alias("entry"), "id", "e", "cap", "role"), found)
+        discard(out, shuffles=True)
+        out = stored(compared(meeting(rest if level == LEVELS else rest.where("few")), sets, percent), "compared")
+        found = merged(found, linked(out))
+        discard(out, shuffles=True)
+        rows = rest.where("not few").select("entry", "id", "component", F.col("e").alias("order"))
+        if level == LEVELS or rows.isEmpty():
+            discard(rest)
+            return found
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of what is connected already and of new links (id, hub)."""
+    if links.isEmpty():
+        return found
+    return components(found.select("id", F.col("component").alias("hub")).unionByName(links), "id", "hub")
+
+
+def classes(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of df: doc_id, t (hash of the text), n_shingles, component_id; stored."""
     rows = stored(indexed(df, n, percent, key, text), "indexed")
-    small = stored(rows.select("doc_id", "n_shingles", "h1", "h2"), "classes")
-    heads = stored(small.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("size")), "heads")
+    small = stored(rows.select("doc_id", "t", "n_shingles", "h1", "h2"), "classes")
+    heads = small.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    heads = stored(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
     every = rows.select(F.explode("bands").alias("b")).select(F.explode("b.entries").alias("entry"))
     # copies share all entries; they are told from others below
     shared = stored(every.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), "shared")
-    held = members(rows, bitmap(shared, "entry")).join(shared, "entry")
-    held = held.join(heads, ["h1", "h2"]).where("doc_id = id").select("entry", "id", "size", "band", "need").distinct()
-    held = stored(held, "held")
-    discard(rows)
+    held = members(rows, bitmap(shared, "entry")).join(shared, "entry").distinct()
+    held = stored(held.join(heads.select("h1", "h2", "id"), ["h1", "h2"]).select("entry", "id", "band", "need"), "held")
+    discard(rows, shared, shuffles=True)
     index = open_entries(held, df.sparkSession.createDataFrame([], "id long, component long"))
-    wanted = index.select("id").distinct()
-    found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("id").alias("mix")), "mix"), key, text).join(wanted, "id").join(heads, ["id", "h1", "h2"])
-    sets = stored(found_sets.select("id", "h1", "h2", "elements").dropDuplicates(["id", "h1", "h2"]).select("id", "elements"), "sets")
+    discard(held)
+    wanted = index.select("id").distinct().join(heads, "id").select("id", "first", "h1", "h2")
+    found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("first").alias("mix")), "mix"), key, text).join(wanted.withColumnRenamed("first", "doc_id"), ["doc_id", "h1", "h2"])
+    sets = stored(found_sets.select("id", "elements").dropDuplicates(["id"]), "sets")
     found = connected(index, sets, percent)
-    named = heads.join(found, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    full = small.where("h1 is not null").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return full.unionByName(small.where("h1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).withColumnRenamed("doc_id", key)
+    # components are named by the smallest key in them
+    roots = found.select(F.col("component").alias("id"), "component").distinct()
+    joined = found.unionByName(roots).join(heads, "id").select("h1", "h2", "first", "component")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    named = heads.select("h1", "h2", "first").join(joined.join(least, "component").select("h1", "h2", "least"), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("least", "first").alias("component"))
+    full = small.where("h1 is not null and doc_id is not null").join(named, ["h1", "h2"]).select("doc_id", "t", "n_shingles", F.col("component").alias("component_id"))
+    alone = small.where("h1 is null or doc_id is null").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = stored(full.unionByName(alone), "components")
+    discard(small, heads, sets, index, shuffles=True)
+    return out
+
+
+def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of df: key, n_shingles, component_id (the smallest key reachable by links)."""
+    return classes(df, n, percent, key, text).select(F.col("doc_id").alias(key), "n_shingles", "component_id")
+
+
+def representatives(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, with all columns, without all but one of each component: a row of its smallest key stays, among several the one whose text has the smallest hash."""
+    rows = classes(df, n, percent, key, text).where("n_shingles > 0 and doc_id is not null")
+    others = rows.where("doc_id <> component_id").select("doc_id", "t", F.lit(False).alias("first"))
+    # several rows of the key that names a component: one of them stays
+    several = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("least")).where("n > 1").select("doc_id", "least")
+    again = rows.where("doc_id = component_id").join(several, "doc_id").select("doc_id", "t", (F.col("t") == F.col("least")).alias("first"))
+    gone = stored(others.unionByName(again).distinct(), "gone")
+    some, rest = split_by_ids(df, key, gone, "doc_id")
+    names = df.columns
+    marked = some.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_hash(text).alias("t")).join(gone, ["doc_id", "t"], "left")
+    kept = marked.where("first is null").select("row.*")
+    if not again.isEmpty():
+        once = marked.where("first").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "t").orderBy(F.lit(0))))
+        kept = kept.unionByName(once.where("copy = 1").select("row.*"))
+    return rest.unionByName(kept)
