@@ -4,9 +4,9 @@ Documents become token ids plus an end id; longer ones are cut into pieces of
 the sequence length, the remainder first. Only the histogram of piece lengths
 (at most one counter per possible length, however many documents there are)
 decides the plan: for each length, longest first, the gap to the sequence
-length is looked up among the available single lengths, pair sums and triple
-sums, and a combination that fills it exactly is consumed as often as its
-counts allow. What has no exact complement is packed best-fit: the largest
+length is looked up in an index of single lengths, pair sums and triple sums
+under availability counts, and a combination that fills it exactly is consumed
+as often as its counts allow. What has no exact complement is packed best-fit: the largest
 available length that fits, then again an exact complement of the rest.
 
 A plan row says: copies m of the pattern (l1, l2, ...). Pieces of one length
@@ -32,30 +32,65 @@ from .bpe import encoder, flat_string, slices
 from .common import stored, texts
 
 
-def complement(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap, under availability counts."""
-    if left[gap]:
-        return (gap,)
-    have = np.flatnonzero(left[: gap + 1])
-    if not len(have):
+class Sums:
+    """Available lengths with their counts, and an index of single, pair and triple sums.
+
+    ``left[n]`` counts the pieces of length n. ``pair[s]`` is the larger member
+    of a pair of lengths with the sum s, 0 where there is none; ``no_triple[s]``
+    says that no three lengths have that sum. Counts only fall, so an entry that
+    no longer holds is looked up anew once, and what is not found stays so.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, size = left, len(left)
+        self.pair, self.no_triple = np.zeros(size, np.int64), np.zeros(size, bool)
+        have = np.flatnonzero(left)
+        for a in have.tolist():
+            other = have[(have <= a) & (have + a < size)]
+            other = other[left[other] > (other == a)]
+            self.pair[a + other] = a
+
+    def largest(self, most: int) -> int:
+        """The largest available length up to most, 0 if there is none."""
+        have = np.flatnonzero(self.left[: most + 1])
+        return int(have[-1]) if len(have) else 0
+
+    def two(self, s: int) -> tuple[int, int] | None:
+        """An available pair with the sum s."""
+        a = int(self.pair[s])
+        if not a:
+            return None
+        if not (self.left[a] and self.left[s - a] > (2 * a == s)):
+            b = np.arange(s // 2 + 1)
+            ok = np.flatnonzero((self.left[b] > (2 * b == s)) & (self.left[s - b] > 0))
+            a = self.pair[s] = s - int(ok[0]) if len(ok) else 0
+        return (a, s - a) if a else None
+
+    def three(self, s: int) -> tuple[int, int, int] | None:
+        """An available triple with the sum s."""
+        if s < 3 or self.no_triple[s]:
+            return None
+        have = np.flatnonzero(self.left[: s - 1])
+        for a in have[self.pair[s - have] > 0][::-1].tolist():
+            self.left[a] -= 1
+            rest = self.two_without(s - a, a)
+            self.left[a] += 1
+            if rest:
+                return (a, *rest)
+        self.no_triple[s] = True
         return None
-    ok = left[gap - have] > np.where(gap - have == have, 1, 0)
-    ok &= gap - have > 0
-    if ok.any():
-        a = int(have[ok][-1])
-        return (a, gap - a)
-    for a in have[::-1]:
-        rest = gap - int(a)
-        if rest < 2:
-            continue
-        small = have[have < rest]
-        b, c = small, rest - small
-        need = 1 + (b == a).astype(np.int64) + (b == c)
-        fits = (left[b] >= np.where(b == a, 2, 1)) & (left[c] >= 1 + (c == a) + (c == b)) & (need >= 1)
-        if fits.any():
-            x = int(b[fits][-1])
-            return (int(a), x, rest - x)
-    return None
+
+    def two_without(self, s: int, taken: int) -> tuple[int, int] | None:
+        """As ``two`` while one piece of the length taken is in hand; what only that piece prevents is not forgotten."""
+        kept = int(self.pair[s])
+        found = self.two(s)
+        if not found and self.left[taken] == 0:
+            self.pair[s] = kept
+        return found
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths whose sum is the gap."""
+        return (gap,) if self.left[gap] else self.two(gap) or self.three(gap)
 
 
 def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -63,13 +98,12 @@ def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[int
     left = np.zeros(length + 1, np.int64)
     for n, c in histogram.items():
         left[n] += c
+    sums = Sums(left)
     plan: list[tuple[tuple[int, ...], int]] = []
 
-    def times(pattern: tuple[int, ...]) -> int:
-        return min(int(left[x]) // pattern.count(x) for x in set(pattern))
-
     def consume(pattern: tuple[int, ...]) -> None:
-        m = times(pattern)
+        """As often as the counts allow."""
+        m = min(int(left[x]) // pattern.count(x) for x in set(pattern))
         for x in pattern:
             left[x] -= m
         plan.append((pattern, m))
@@ -80,25 +114,21 @@ def packing_plan(histogram: dict[int, int], length: int) -> list[tuple[tuple[int
     for big in range(length - 1, 0, -1):
         while left[big]:
             left[big] -= 1
-            fill = complement(length - big, left)
+            fill = sums.fill(length - big)
             left[big] += 1
             if fill is None:
+                pending.append(big)
                 break
             consume((big, *fill))
-        if left[big]:
-            pending.append(big)
     for big in pending:
         while left[big]:
-            pattern = [big]
+            # the largest that fits, then again an exact complement of the rest
+            pattern, gap = [big], length - big
             left[big] -= 1
-            gap = length - big
             while gap:
-                fill = complement(gap, left)
-                if fill is None:
-                    have = np.flatnonzero(left[: gap + 1])
-                    if not len(have):
-                        break
-                    fill = (int(have[-1]),)
+                fill = sums.fill(gap) or (sums.largest(gap),)
+                if not fill[0]:
+                    break
                 for x in fill:
                     left[x] -= 1
                 pattern += fill
@@ -184,5 +214,6 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, key
             sequence, offset = slots.place(batch.column("length").to_numpy(), batch.column("number").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    numbered = cut.join(counts.select("part", "length", "before"), ["part", "length"]).select(*names, (F.col("number") + F.col("before")).alias("number"))
+    # a row for each task and length: too many to broadcast for a large corpus
+    numbered = cut.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"]).select(*names, (F.col("number") + F.col("before")).alias("number"))
     return numbered.mapInArrow(run, f"{key} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
