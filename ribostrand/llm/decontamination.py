@@ -18,7 +18,9 @@ benchmark takes more passes, one per block. Nothing about documents is
 gathered.
 
 Edge cases: items without words match nothing; null texts are empty; repeated rows give a row each;
-repeated items are items of their own; empty tables give empty results; extra
+repeated items are items of their own; of alignments with equal scores the one
+that ends first counts; very long texts are read in slices and aligned only near
+what they share with an item; empty tables give empty results; extra
 columns are ignored.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import stored, texts, without
+from .common import stored, text_hash, texts, without
 
 RATIO = 0.6
 BLOCK_WORDS = 2_000_000
@@ -218,7 +220,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, ratio: float = RATIO, key:
     return df.sparkSession.createDataFrame([], OUT) if out is None else out
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of df without those of contaminated documents; all columns. Rows without a key cannot be named and stay."""
-    bad = stored(contaminated(df, benchmark, key=key, **options).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return without(df, key, bad, "doc_id")
+def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of df without contaminated texts; all columns. Rows are told apart by a 64-bit hash of their texts, so keys may be null or repeated."""
+    docs = df.select(text_hash(text).alias("doc_id"), F.col(text).alias("text"))
+    bad = stored(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
+    return without(df, text_hash(text), bad, "doc_id")
