@@ -27,8 +27,9 @@ Edge cases: null and empty texts have no words and stay as they are (null
 becomes empty); rows with equal doc_id come in the order of their texts'
 digests, and equal rows are copies of each other; a null doc_id sorts first;
 a document whose lines are all deleted gets an empty text; empty tables give
-empty results; extra columns are kept by ``dedup_lines`` and ignored by
-``deleted_lines``.
+empty results; extra columns are kept by ``dedup_lines``, whatever their names
+(but for its two counts), and ignored by ``deleted_lines``; a very long text is
+one row of line digests.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string
-from .common import split_by_ids, stored, with_fields
+from .common import fresh, split_by_ids, stored, with_fields
 
 MIN_WORDS = 40
 WORD = re.compile(r"\S+")
@@ -324,35 +325,36 @@ def deleted_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     return parts.groupBy("doc_id", "h", "copy").agg(F.flatten(F.collect_list("deleted")).alias("deleted"))
 
 
-def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of df, the text without its deleted lines, and n_lines, n_deleted (int)."""
+def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """All rows and columns of df, the text without its deleted lines, and the counts n_lines, n_deleted (int), which replace columns of df with their names."""
+    df = df.drop(*counts)
     found = stored(deleted_lines(df, min_words, key, text), "deleted")
-    deleted = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("h", "copy", "deleted")).alias("_deleted"))
+    of, doc, copy, gone = (fresh(df, name) for name in ("_of", "_doc", "_copy", "_deleted"))
+    deleted = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("h", "copy", "deleted")).alias(gone))
     # texts of which nothing is deleted are not moved
     some, rest = split_by_ids(df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))), key, found, "doc_id")
-    rows = some.withColumn("_doc", F.col(key).cast("long")).withColumn("_copy", F.lit(0))
+    rows = some.withColumn(doc, F.col(key).cast("long")).withColumn(copy, F.lit(0))
     if not found.where("copy > 0").isEmpty():
         # equal rows: which of them is the first copy makes no difference
-        rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc", F.xxhash64(text)).orderBy(F.lit(0))) - 1)
+        rows = rows.withColumn(copy, F.row_number().over(Window.partitionBy(doc, F.xxhash64(text)).orderBy(F.lit(0))) - 1)
     names, at = df.columns, df.columns.index(text)
-    schema = with_fields(df, "n_lines int, n_deleted int")
+    schema = with_fields(df, f"`{counts[0]}` int, `{counts[1]}` int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, marks, copies = flat_string(batch.column(text)).to_pylist(), batch.column("_deleted").to_pylist(), batch.column("_copy").to_pylist()
+            every, marks, copies = flat_string(batch.column(text)).to_pylist(), batch.column(gone).to_pylist(), batch.column(copy).to_pylist()
             n_lines, n_deleted = [], []
-            for i, (whole, mark, copy) in enumerate(zip(every, marks, copies, strict=True)):
+            for i, (whole, mark, number) in enumerate(zip(every, marks, copies, strict=True)):
                 h = text_key(whole) if mark else 0
-                gone = next((m["deleted"] for m in mark or () if m["h"] == h and m["copy"] == copy), [])
+                off = next((set(m["deleted"]) for m in mark or () if m["h"] == h and m["copy"] == number), ())
                 lines = whole.split("\n")
-                if gone:
-                    off = set(gone)
+                if off:
                     every[i] = "\n".join(x for k, x in enumerate(lines) if k not in off)
                 n_lines.append(len(lines))
-                n_deleted.append(len(gone))
+                n_deleted.append(len(off))
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(every, columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], names=[*names, "n_lines", "n_deleted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_deleted, pa.int32())], names=[*names, *counts])
 
-    changed = rows.join(deleted, F.col("_doc").eqNullSafe(F.col("_of")), "left").drop("_of").mapInArrow(run, schema)
-    return rest.withColumn("n_lines", F.size(F.split(text, "\n"))).withColumn("n_deleted", F.lit(0)).unionByName(changed)
+    changed = rows.join(deleted, F.col(doc).eqNullSafe(F.col(of)), "left").drop(of).mapInArrow(run, schema)
+    return rest.withColumn(counts[0], F.size(F.split(text, "\n"))).withColumn(counts[1], F.lit(0)).unionByName(changed)
