@@ -1,18 +1,27 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of its hashed character n-grams (UTF-8 bytes
-of the lower-cased text, white space folded). Each feature is scaled by the
-naive Bayes log-count ratio of the two classes, and a logistic regression is
-fitted on the scaled features. Scoring reads whole texts; training reads a
-bounded sample of the labelled rows: per class the ``most_per_class`` rows of
-the smallest hash of the key. Class weights restore the shares of all labelled
-training rows, so scores stay probabilities.
+A text's features are the presence of its hashed character n-grams (of the
+lower-cased text, white space as spaces). Each feature is scaled by the naive
+Bayes log-count ratio of the two classes, and a logistic regression is fitted on
+the scaled features. Scoring reads whole texts; training reads a bounded sample
+of the labelled rows: per class the ``most_per_class`` rows of the smallest hash
+of the key. Class weights restore the shares of all labelled training rows, so
+scores stay probabilities.
+
+Not all n-grams are features: the ``most_features`` buckets of 2**BITS whose
+log-count ratio is furthest from 0 in units of its standard error are (feature
+selection, not a bound on data; with all of them the classifier is worse, since
+most ratios are noise). 2048 had the best area under the curve of 1024, 2048,
+4096 and 8192 on a fourth of the training rows held back for that choice.
 
 Edge cases: null and empty texts get the score of the intercept; rows with a
-null label, and rows whose documents are missing, teach nothing; with fewer
+null label, labels without a document and documents without a label teach
+nothing and count nowhere; of several labels of a key the larger counts; of
+equally strong features those with the smaller bucket are taken; with fewer
 than two classes to learn from, every score is the smoothed share of toxic
-training rows; repeated rows are scored each; a null key is never held out;
-an empty table gives an empty result; extra columns are ignored.
+training rows; repeated rows are scored each; a null key is never held out; very
+long texts are read in overlapping windows; an empty table gives an empty
+result; extra columns are ignored (and kept, whatever their names, with ``keep``).
 """
 
 from __future__ import annotations
@@ -27,25 +36,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import texts, with_fields
+from .common import fresh, texts, with_fields
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 MOST_PER_CLASS = 4000
-MOST_FEATURES = 8192
+MOST_FEATURES = 2048
 PENALTY = 1.0
-SLICE = 6 << 20
-
-
-def _grams(lowered: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram order: the bucket at every byte place, with the ends of the texts; the bucket 0 stands for none."""
-    width = np.int64 if pa.types.is_large_string(lowered.type) else np.int32
-    offsets = np.frombuffer(lowered.buffers()[1], width)[lowered.offset : lowered.offset + len(lowered) + 1].astype(np.int64)
-    raw = lowered.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    data = np.where(data <= 32, np.uint8(32), data).astype(np.uint32)
-    h = data.copy()
+SLICE = 4 << 20
+WINDOW = 4 << 20
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(number of the text of each piece, pieces) of at most about WINDOW characters; pieces of a longer text overlap by less than an n-gram."""
+    rows, pieces, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), WINDOW):
+            piece = text[at : at + WINDOW + max(ORDERS) - 1]
+            if pieces and size + len(piece) > WINDOW:
+                yield np.array(rows), pieces
+                rows, pieces, size = [], [], 0
+            rows.append(i)
+            pieces.append(piece)
+            size += len(piece)
+    if pieces:
+        yield np.array(rows), pieces
+
+
+def _grams(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram order: the bucket at every character, with the ends of the pieces; the bucket 0 stands for none."""
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+    data = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+    data = np.where(data <= 32, np.uint32(32), data)
+    h = data
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
             return
@@ -59,25 +82,27 @@ def _grams(lowered: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield bucket, offsets
 
 
-def _lower(column: pa.Array) -> pa.Array:
-    return flat_string(pc.utf8_lower(column))
+def _lower(column: pa.Array) -> list[str]:
+    return pc.utf8_lower(column).to_pylist()
 
 
-def _present(lowered: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _present(lowered: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each wanted feature present; wanted: feature number + 1 by bucket, 0 if none."""
     found, features = [], int(wanted.max()) + 1 if len(wanted) else 1
-    for bucket, offsets in _grams(lowered):
-        at = np.flatnonzero(wanted[bucket])
-        row = np.searchsorted(offsets, at, "right") - 1
-        found.append(np.unique(row * features + wanted[bucket[at]]))
+    for rows, pieces in _chunks(lowered):
+        for bucket, offsets in _grams(pieces):
+            feature = wanted[bucket]
+            at = np.flatnonzero(feature)
+            row = rows[np.searchsorted(offsets, at, "right") - 1]
+            found.append(np.unique(row * features + feature[at]))
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs // features, pairs % features - 1
 
 
-def _singles(column: pa.Array) -> Iterator[pa.Array]:
-    """The lower-cased texts, one array each."""
-    lowered = _lower(flat_string(column))
-    return (lowered.slice(i, 1) for i in range(len(lowered)))
+def _distinct(text: str) -> np.ndarray:
+    """The buckets of one lower-cased text."""
+    found = [np.unique(bucket) for _, pieces in _chunks([text]) for bucket, _ in _grams(pieces)]
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *found]))
 
 
 @dataclass
@@ -127,7 +152,8 @@ def minimise(f, x: np.ndarray, steps: int = 100, memory: int = 8) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_per_class: int = MOST_PER_CLASS, most_features: int = MOST_FEATURES) -> Model:
     """Fit on labels (all of them may teach). The sample holds at most 2 * most_per_class rows."""
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y")).where("y in (0, 1)")
+    ids = documents.select(F.col(key).cast("long").alias("doc_id"))
+    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y")).where("y in (0, 1)").join(ids, "doc_id", "left_semi")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     negatives, positives = counts.get(0, 0), counts.get(1, 0)
     share = (positives + 0.1) / (positives + negatives + 1)
@@ -142,11 +168,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         sums = np.zeros((2, 1 << BITS), np.int64)
         seen = np.zeros(2, np.int64)
         for batch in batches:
-            for one, y in zip(_singles(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                buckets = [bucket for bucket, _ in _grams(one)]
-                if buckets:
-                    every = np.sort(np.concatenate(buckets))
-                    sums[y, every[np.append(True, every[1:] != every[:-1])]] += 1
+            for one, y in zip(_lower(flat_string(batch.column(0))), batch.column(1).to_pylist(), strict=True):
+                sums[y, _distinct(one)] += 1
                 seen[y] += 1
         sums[:, 0] = seen
         at = np.flatnonzero(sums.sum(0))
@@ -196,26 +219,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """key, score and predicted (1 if score >= threshold) of each row; keep: all its columns and score alone, as _score."""
+def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: str | None = None) -> DataFrame:
+    """key, score and predicted (1 if score >= threshold) of each row; keep: all its columns and the score alone, under that name."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # a table of 2**BITS numbers and at most most_features weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            column = flat_string(batch.column("_text" if keep else 1))
+            column = flat_string(batch.column(len(batch.columns) - 1))
             for a, b in slices(column, SLICE):
                 s = own.scores(column.slice(a, b - a))
                 if keep:
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], names=[*names, "_score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s)], names=[*names, keep])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     if keep:
         names = documents.columns
-        schema = with_fields(documents, "_score double")
-        return documents.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)
+        schema = with_fields(documents, f"`{keep}` double")
+        return documents.withColumn(fresh(documents, "_text"), F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, schema)
     return texts(documents, key, text).mapInArrow(run, "doc_id long, score double, predicted int").withColumnRenamed("doc_id", key)
 
 
