@@ -16,7 +16,9 @@ that runs twice does no harm.
 Edge cases: a null payload counts as empty; a null URL is written as an empty
 one; rows that share the smallest page_id and the payload are all responses; a
 page without page_id is a revisit where a page with one has its payload, and a
-response otherwise; empty tables write no file; extra columns are ignored.
+response otherwise; empty tables write no file; a very long payload is held
+whole by one task when written, in parts when normalised; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -144,8 +146,12 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payl
                 ["page_id", "url", "digest", "payload_bytes", "packed"],
             )
 
-    packed = rows.mapInArrow(digest, "page_id long, url string, digest string, payload_bytes long, packed binary")
-    return packed.join(firsts, "digest", "left")
+    def packed(part: DataFrame) -> DataFrame:
+        return part.mapInArrow(digest, "page_id long, url string, digest string, payload_bytes long, packed binary")
+
+    # short payloads have no revisits: they are not joined, so the most common one (nothing) is no hot key
+    long = F.octet_length("html") >= least
+    return packed(rows.where(long)).join(firsts, "digest", "left").unionByName(packed(rows.where(~long)).withColumn("first", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 1, **names) -> DataFrame:
