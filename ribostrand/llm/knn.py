@@ -11,8 +11,11 @@ whose bound reaches the group's score are sent to the group; there, in blocks
 of bounded size, an exact product finds the best k, and blocks are merged.
 
 Score bounds: for x with pivot p at distance d and a query q,
-q.x >= q.p - |q| d, and for q within r of its group's pivot g,
-q.x <= g.x + r |x|.
+q.x >= q.p - |q| d; for q within r of its group's pivot g,
+q.x <= g.x + r |x|; and for q within the angle a of g, the angle between q and x
+is at least that between g and x less a. Where vectors have no clusters (random
+directions in many dimensions) none of these rules much out, and groups get
+nearly all vectors; the blocks then bound what a task holds.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part; vectors of different lengths are never compared; ties go to the
@@ -38,6 +41,8 @@ MOST_PIVOTS = 2048
 QUERIES_A_PIVOT = 64
 BLOCK = 4096
 SLACK = 1e-6
+#: Bounds from the pivots allow for so many rows of a query's own id; where an id has more, they are not used.
+MOST_COPIES = 64
 OUT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -88,6 +93,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, np.sqrt(np.maximum(d[np.arange(len(x)), near], 0))
 
 
+def angles(x: np.ndarray, norm: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The angle between each vector (of that norm) and each centre; a right one for vectors without direction."""
+    sizes = norm[:, None] * np.sqrt((centres**2).sum(1))[None, :]
+    return np.arccos(np.clip(np.divide(x @ centres.T, sizes, out=np.zeros_like(sizes), where=sizes > 0), -1, 1))
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -101,6 +112,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _joined(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
     spark = vectors.sparkSession
     n_queries = queries.count()
+    copies = vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    # a query's own rows may be among the nearest of a pivot, but never among its results
+    kept = k + copies if copies <= MOST_COPIES else 0
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # a bounded sample
     sample = np.frombuffer(b"".join(bytes(r["v"]) for r in rows), "<i8").reshape(-1, size).astype(np.float64)
     sample_ids = np.array([r["vec_id"] for r in rows])
@@ -112,47 +126,51 @@ def _joined(vectors: DataFrame, queries: DataFrame, size: int, k: int) -> DataFr
         for batch in batches:
             near, d = nearest(matrix(batch.column(1), size).astype(np.float64), shared.value[0])
             for g in np.unique(near):
-                near_by[g] = np.sort(np.append(near_by[g], d[near == g]))[: k + 1]
+                near_by[g] = np.sort(np.append(near_by[g], d[near == g]))[:kept]
         rows = [(g, x) for g, ds in enumerate(near_by) for x in ds.tolist()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["g", "d"])
 
     closest = Window.partitionBy("g").orderBy("d")
-    near_rows = vectors.select("vec_id", "v").mapInArrow(summarise, "g int, d double").withColumn("n", F.row_number().over(closest)).where(F.col("n") <= k + 1).select("g", "d").collect()  # k + 1 numbers a pivot
+    near_rows = vectors.select("vec_id", "v").mapInArrow(summarise, "g int, d double").withColumn("n", F.row_number().over(closest)).where(F.col("n") <= kept).select("g", "d").collect()  # at most k + MOST_COPIES numbers a pivot
     near_g, near_d = np.array([r["g"] for r in near_rows], np.int64), np.array([r["d"] for r in near_rows])
 
     def bound_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, few, few_ids = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
             q, ids = matrix(batch.column(1), size).astype(np.float64), batch.column(0).to_numpy()
             near, d = nearest(q, centres)
             norm = np.sqrt((q**2).sum(1))
             floor = np.full(len(q), -np.inf)
-            if len(near_g) > k:
+            if len(near_g) >= max(kept, 1):
                 low = (q @ centres.T)[:, near_g] - norm[:, None] * near_d[None, :]
-                floor = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1]
+                floor = np.partition(low, low.shape[1] - kept, axis=1)[:, low.shape[1] - kept]
             scores = q @ few.T
             scores[ids[:, None] == few_ids[None, :]] = -np.inf
             if scores.shape[1] >= k:
                 floor = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(d), pa.array(floor)], ["query_id", "q", "g", "d", "floor"])
+            angle = angles(q, norm, centres)[np.arange(len(q)), near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(d), pa.array(floor), pa.array(angle), pa.array(norm)], ["query_id", "q", "g", "d", "floor", "angle", "norm"])
 
-    asked = stored(queries.select("vec_id", "v").mapInArrow(bound_queries, "query_id long, q binary, g int, d double, floor double"), "queries")
-    groups = asked.groupBy("g").agg(F.max("d").alias("r"), F.min("floor").alias("floor"), F.count(F.lit(1)).alias("n")).orderBy("g").collect()  # a row a pivot
+    asked = stored(queries.select("vec_id", "v").mapInArrow(bound_queries, "query_id long, q binary, g int, d double, floor double, angle double, norm double"), "queries")
+    groups = asked.groupBy("g").agg(F.max("d").alias("r"), F.min("floor").alias("floor"), F.max("angle").alias("angle"), F.min("norm").alias("least"), F.max("norm").alias("most")).orderBy("g").collect()  # a row a pivot
     if not groups:
         return spark.createDataFrame([], OUT)
     number = np.array([x["g"] for x in groups])
-    radius, floors = np.array([x["r"] for x in groups]), np.array([x["floor"] for x in groups])
+    radius, floors, turn, least, most = (np.array([x[c] for x in groups]) for c in ("r", "floor", "angle", "least", "most"))
 
     def wanted(x: np.ndarray) -> np.ndarray:
         """By row and query group: may the vector be among the best k of any of its queries?"""
         norm = np.sqrt((x**2).sum(1))
-        high = x @ shared.value[0][number].T + norm[:, None] * radius[None, :]
+        own = shared.value[0][number]
+        high = x @ own.T + norm[:, None] * radius[None, :]
+        cosine = np.cos(np.maximum(angles(x, norm, own) - turn[None, :], 0))
+        high = np.minimum(high, norm[:, None] * np.where(cosine > 0, most, least) * cosine)
         return high + SLACK * (1 + np.abs(high)) >= floors[None, :]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(number), np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, 2048) for b in batches for at in range(0, len(b), 2048)):
             sums += wanted(matrix(batch.column(1), size).astype(np.float64)).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(sums)], ["g", "n"])
 

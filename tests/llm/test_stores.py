@@ -57,6 +57,23 @@ def test_knn(spark):
     assert knn.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_knn_of_clusters(spark, monkeypatch):
+    """Many pivots and blocks, clusters of several lengths, repeated ids of queries, vectors of zeros."""
+    monkeypatch.setattr(knn, "QUERIES_A_PIVOT", 3)
+    monkeypatch.setattr(knn, "BLOCK", 60)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8)) * 3
+    rows = [(i, (centres[i % 12] * (1 + i % 3) + rng.normal(size=8) * 0.05).round(3).tolist()) for i in range(900)]
+    rows += [(40, rows[41][1]), (40, rows[40][1]), (60, rows[60][1]), (2000, [0.0] * 8), (2001, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 20 == 0, k=7).select("query_id", "rank", "vec_id", "score").collect())
+    ints = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    for q in {i for i, _ in ints if i % 20 == 0} - {40, 60}:
+        own = next(x for i, x in ints if i == q)
+        best = sorted((-int(own @ x), i) for i, x in ints if i != q)[:7]
+        assert all(got[q, k + 1, i, -s] == 1 for k, (s, i) in enumerate(best))
+
+
 def test_pipeline(spark, tmp_path):
     docs = helpers.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
     toxic = [(300 + i, helpers.prose(300 + i, 40) + (" what an idiot" if i % 4 == 0 else ""), "en", "s", 0) for i in range(120)]
