@@ -5,8 +5,14 @@ line runs are deleted, and documents left without text go; of each group of
 near-duplicate documents (distinct 5-word shingles, Jaccard similarity 0.8 or
 more) the one of the smallest doc_id stays; documents with an aligned benchmark
 passage go; what is left is cut into pieces and packed. Each stage gets all
-that the one before it kept; rows without doc_id are only ever judged by their
-own text.
+that the one before it kept.
+
+Edge cases: rows without doc_id are only ever judged by their own text; of rows
+that share a doc_id but not a text each is judged by itself; of equal rows the
+near-duplicate stage keeps one; null and empty texts pass the first stages as
+empty documents (a document that loses all its lines goes) and are packed as one
+end id; an empty table gives no sequences; extra columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -14,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribostrand.llm.common import stored, table, without
+from ribostrand.llm.common import fresh, stored, table
 from ribostrand.llm.decontamination import decontaminate
-from ribostrand.llm.jaccard import jaccard_components
+from ribostrand.llm.jaccard import representatives
 from ribostrand.llm.line_dedup import dedup_lines
 from ribostrand.llm.packing import pack
 from ribostrand.llm.queries import tokenizer_path
@@ -27,20 +33,22 @@ TOXIC_FROM = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; labels of held-out rows are not learned from."""
-    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, model, keep=True).where(F.col("_score") < TOXIC_FROM).drop("_score")
+    model, name = fit(docs, table(spark, sf_dir, "labels").where(~held_out())), fresh(docs, "_score")
+    return score(docs, model, keep=name).where(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents of which nothing is left go."""
-    out = dedup_lines(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
-    return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, deleted = fresh(docs, "_lines"), fresh(docs, "_deleted")
+    out = dedup_lines(docs, counts=(lines, deleted)).where((F.col(deleted) == 0) | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(deleted) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id."""
-    others = jaccard_components(docs, n=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return without(docs, "doc_id", stored(others, "others"), "_other")
+    return representatives(docs, n=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
