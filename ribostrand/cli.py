@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import shutil
 import sys
@@ -41,18 +42,38 @@ def _inputs(spark: SparkSession, path: str) -> tuple[RunConfig, dict[str, str],
     return config, inputs | {"output": at(inputs.get("output", "run"))}, pairs, S.read_fasta(spark, at(inputs["target"]))
 
 
+def _judged(pairs: DataFrame, targets: DataFrame, config: RunConfig):
+    return K.classify(pairs, targets, config).join(pairs.select("pair_id", "r1", "r2"), "pair_id").join(targets.select("target_id", "name", "seq"), "target_id", "left").first()
+
+
+def _show(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> None:
+    """The diagram of one pair."""
+    one = _judged(pairs, targets, config)
+    if one is not None:
+        print(X.diagram(one["r1"], one["r2"], one["seq"] or "", one["site"], one["end"]), one["failure"] or "")
+
+
+def _case(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> dict | None:
+    """One pair as a test case: its reads and what is found now."""
+    one = _judged(pairs, targets, config)
+    if one is None:
+        return None
+    return {"pair_id": one["pair_id"], "r1": one["r1"], "r2": one["r2"], "expect": {k: one[k] for k in ("name", "site", "end", "mutations", "failure")}}
+
+
 def _csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "export_channels", "show", "matrix", "doc")
+    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "export_channels", "show", "extract_case", "add_case", "show_test_case", "matrix", "doc")
     parser = argparse.ArgumentParser(prog="ribostrand", description=__doc__)
     parser.add_argument("command", choices=commands)
     parser.add_argument("config", nargs="?", default="run.config")
     parser.add_argument("--kind", default="run", help="dump or plot kind, matrix column")
     parser.add_argument("--tag", default="match_errors")
     parser.add_argument("--pair", type=int, default=0)
+    parser.add_argument("--cases", default="cases.json", help="file of test cases")
     parser.add_argument("--out")
     a = parser.parse_args(argv)
     if a.command == "doc":
@@ -110,9 +131,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "export_channels":
             _csv(X.input_sheet(spark, config.masks, f"{out}/channels"), f"{out}/sheet")
     elif a.command == "show":
-        one = K.classify(pairs.where(F.col("pair_id") == a.pair), targets, config).join(pairs.select("pair_id", "r1", "r2"), "pair_id").join(targets.select("target_id", "seq"), "target_id", "left").first()
-        if one is not None:
-            print(X.diagram(one["r1"], one["r2"], one["seq"] or "", one["site"], one["end"]), one["failure"] or "")
+        _show(pairs.where(F.col("pair_id") == a.pair), targets, config)
+    elif a.command in ("extract_case", "add_case"):
+        case = _case(pairs.where(F.col("pair_id") == a.pair), targets, config)
+        if case is None:
+            print(f"no pair {a.pair}", file=sys.stderr)
+            return 1
+        if a.command == "extract_case":
+            print(json.dumps(case, indent=1))
+        else:
+            with open(a.cases, "w" if not os.path.exists(a.cases) else "r+", encoding="utf-8") as f:
+                cases = [c for c in (json.load(f) if f.mode == "r+" else []) if c["pair_id"] != a.pair]
+                f.seek(0)
+                f.truncate()
+                json.dump([*cases, case], f, indent=1)
+    elif a.command == "show_test_case":
+        with open(a.cases, encoding="utf-8") as f:
+            case = next((c for c in json.load(f) if c["pair_id"] == a.pair), None)
+        if case is None:
+            print(f"no case {a.pair}", file=sys.stderr)
+            return 1
+        _show(spark.createDataFrame([(case["pair_id"], case["r1"], case["r2"])], "pair_id long, r1 string, r2 string"), targets, config)
+        print("expected:", json.dumps(case["expect"]))
     return 0
 
 

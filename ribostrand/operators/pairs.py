@@ -28,6 +28,15 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("r1", "r2").agg(F.min("pair_id").alias("pair_id"), F.sum(weight).cast("long").alias("multiplicity"))
 
 
+def for_all_copies(results: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The results of unique pairs, a row for each of the pairs that they stand for (with that pair's own multiplicity)."""
+    weight = F.coalesce(F.col("multiplicity"), F.lit(1)) if "multiplicity" in pairs.columns else F.lit(1)
+    each = pairs.select("pair_id", "r1", "r2", weight.cast("long").alias("multiplicity"))
+    first = each.groupBy("r1", "r2").agg(F.min("pair_id").alias("_first"))
+    named = results.drop("multiplicity").withColumnRenamed("pair_id", "_first")
+    return each.join(first, ["r1", "r2"]).select("pair_id", "_first", "multiplicity").join(named, "_first").select(*results.columns)
+
+
 def distinct_reads(pairs: DataFrame, approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.count_distinct
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), count("r1").alias("unique_r1"), count("r2").alias("unique_r2"))

@@ -65,9 +65,14 @@ def assign(results: DataFrame, pairs: DataFrame, targets: DataFrame, config: Run
     rows = rows.join(found, "pair_id", "left")
     matched = F.col("target_id").isNotNull()
     counts = F.coalesce(F.col("counters"), F.create_map().cast("map<string, bigint>"))
+    # beyond the fragment both reads show the linker and dumbbell, the handle, and then adapter
+    beyond = F.col("end") - F.col("site") + len(config.masks[0]) + len(config.cotrans_linker if config.cotrans else "") + len(config.dumbbell or "")
+    tail = lambda r: F.substring(r, beyond + 1, F.length(r))
+    wrong = F.size(S.mismatches(tail("r1"), F.lit(config.adapter_b))) + F.size(S.mismatches(tail("r2"), F.lit(_rc(config.adapter_t))))
     indels = F.size(F.map_keys("r1_indels")) + F.size(F.map_keys("r2_indels")) > 0
     own = F.array(
         F.when(matched, "match"), F.when(matched, F.col("_name")), F.when(matched & (F.size("mutations") > 0), "match_errors"), F.when(matched & F.map_contains_key(counts, "adapter_trimmed"), "adapter"),
+        F.when(matched & ~indels & (wrong > 0), "adapter_errors"),
         F.when(matched & F.col("linker").isNotNull(), "linker"), F.when(~matched & F.col("_found").isNull(), "unknown"), F.col("failure"),
         F.when(~S.determinate("r1", "r2"), "indeterminate"),
         F.when(F.col("mask").isNull(), "mask_failure").when(F.col("mask") == config.masks[0], "treated").otherwise("untreated"),

@@ -82,7 +82,9 @@ class FastqReader(DataSourceReader):
             out += [FilePair(len(out) + i, a, b, channel) for i, (a, b) in enumerate(zip(firsts, seconds, strict=True))]
         return out
 
-    def read(self, part: FilePair) -> Iterator[pa.RecordBatch]:
+    def read(self, part: FilePair | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no partitions
+            return
         on = lambda name, default: self.options.get(name, default) == "true"
         nomask, quality = on("nomask", "false"), on("quality", "true")
         strict, done = on("strict", "false") or nomask, 0
@@ -174,7 +176,9 @@ class FastqTextReader(DataSourceReader):
             out += [Range(path, 0, None)] if path.endswith(".gz") else [Range(path, at, at + step) for at in range(0, size, step)]
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no partitions
+            return
         for heads, seqs, _, qualities in records(range_lines(part)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (first_words(heads), seqs, qualities)], names=["identifier", "seq", "quality"])
 
