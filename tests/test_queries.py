@@ -10,7 +10,7 @@ import pytest
 from ribostrand.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
-QUICK = sorted(set(Q.SQL) - {"failure_counts", "mask_totals", "best_match"})
+QUICK = sorted(Q.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -33,13 +33,13 @@ def test_twin(spark, duck, name):
     got = duck.execute(Q.SQL[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
-    assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
+    found = rows(df.columns, df.collect())
+    assert found and found == rows(names, got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["sample", "align_indels", "sam_rows", "prefix_hist", "compare_strategies"])
+@pytest.mark.parametrize("name", ["sample", "align_indels"])
 def test_runs(spark, name):
-    df = Q.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert Q.QUERIES[name](spark, SF).count() == {"sample": 100, "align_indels": 1000}[name]
 
 
 def test_plans_push_down(spark):
