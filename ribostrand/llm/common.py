@@ -89,6 +89,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Python workers get so many rows at once while jobs run in here; for wide rows, of which Spark's own number would take much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame, shuffles: bool = False) -> None:
     """Delete the files of stored tables that nothing reads any more; shuffles: let Spark drop the shuffle files of finished jobs too."""
     for df in tables:

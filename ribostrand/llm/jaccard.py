@@ -17,22 +17,23 @@ one, also there. Sets that are equal are one class, found by grouping on a
 128-bit digest, so copies are never expanded. Sets that share fewer entries of a
 band than any link needs are dropped.
 
-Of a set's entries as many of the largest are left out as it must share anyway.
-Within an index entry no pairs are formed. Its members are compared with one of
-them, the hub, and what each member differs in from the hub is its delta. As
-|A d B| = |a d b| for the deltas a, b of A and B (d: symmetric difference), two
-members link if and only if e(A) + e(B) <= 2 (100 + t) |a n b| with
-e(A) = (100 + t) |a| - (100 - t) |A|. Members that link with the hub are
-connected by it. Of any other linked pair one member is far from the hub, so
-the deltas share so many elements that both have one among their first few in
-an order of rising frequency: deltas are indexed by (hub, element) in such
-prefixes, the far member of the pair by the longer one. Large groups of near
-copies thereby meet in what few of them share, not in what all have in common.
-Entries of this kind that are still large get hubs of their own, level by level;
-small ones give pairs, which are verified exactly unless what follows the
-element in the two deltas is too short for a link. At each level, entries whose
-members are connected already go. Components are closed by distributed label
-propagation.
+Each member of an index entry is compared with one of the others, the hub,
+which connects most of what is connected. Of the sets that still lie in entries
+with several components no pairs are formed within entries either: linked sets
+have so many elements in common that both have one among their first few in an
+order of rising frequency, and only sets that meet in such prefixes are
+compared. Elements in which too many meet get a hub of their own, and what each
+member differs in from it is its delta. As |A d B| = |a d b| for the deltas a, b
+of A and B (d: symmetric difference), two members link if and only if
+e(A) + e(B) <= 2 (100 + t) |a n b| with e(A) = (100 + t) |a| - (100 - t) |A|.
+Members that link with the hub are connected by it; of any other linked pair one
+is far from the hub, so the deltas share an element of their prefixes too (the
+far member's is the longer one). Large groups of near copies thereby meet in
+what few of them share, not in what all have in common. That goes on level by
+level; pairs left are verified exactly unless what follows the element in the two
+deltas is too short for a link. At each level, entries whose members are
+connected already go. Components are closed within tasks and, beyond what one
+task holds, by distributed label propagation.
 
 Nodes are rows: rows that share a key but not a set are nodes of their own, and
 a component is named by the smallest key in it.
@@ -61,12 +62,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, slices
-from .common import bitmap, discard, passes, split_by_ids, stored, text_hash, texts
+from .common import bitmap, discard, passes, small_batches, split_by_ids, stored, text_hash, texts
 
 LIGHT = 1
 #: Entries of deltas with at most FEW pairs for each member give pairs; others get hubs, for at most LEVELS levels.
 FEW = 128
 LEVELS = 2
+#: Rows that a Python worker gets at once: texts and sets are wide.
+BATCH = 512
 #: So many links are contracted in one task.
 LOCAL = 500_000
 #: Frequencies that order elements are counted in 2**SKETCH_BITS counters, a constant.
@@ -405,13 +408,6 @@ def open_entries(index: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def rarest(rest: DataFrame) -> DataFrame:
-    """Of each set's n entries of a band the first n - need + 1 in one order for all, small ones first: two linked sets share one of those."""
-    sizes = rest.groupBy("entry").agg(F.count(F.lit(1)).alias("members"))
-    order = Window.partitionBy("id", "band").orderBy("members", F.xxhash64("entry"), "entry")
-    return rest.join(sizes, "entry").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.col("need") + 1).drop("k", "members")
-
-
 def hubs_of(rows: DataFrame) -> DataFrame:
     """entry, hub, hub_component: the member that comes first in rows (entry, id, order, component)."""
     best = rows.groupBy("entry").agg(F.min_by(F.struct("id", "component"), F.struct("order", "id")).alias("h"))
@@ -419,12 +415,30 @@ def hubs_of(rows: DataFrame) -> DataFrame:
 
 
 def best_hubs(rest: DataFrame) -> DataFrame:
-    """id, hub, wide: each member with the one hub with which it shares most entries."""
+    """id, hub, wide: each member with the one hub with which it shares most entries, if they are as many as a link needs."""
     rows = rest.withColumn("order", -F.col("n"))
-    shared = rows.join(hubs_of(rows), "entry").where("component <> hub_component").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    shared = rows.join(hubs_of(rows), "entry").where("component <> hub_component").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need")
     return shared.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).withColumn("wide", F.lit(False))
 
 
+def own_prefixes(sets: DataFrame, percent: int, seen: np.ndarray) -> DataFrame:
+    """entry, id, e, cap, role: the sets' own prefixes (their deltas to the empty set, whose hub nothing links with)."""
+    sent = sets.sparkSession.sparkContext.broadcast(seen)  # a counter a bucket
+    empty = np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for x, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                delta, e, met, meets = prefixes(np.frombuffer(raw.as_buffer(), np.uint64), empty, percent, sent.value)
+                at = np.arange(max(met, meets))
+                out.append((delta[at].view(np.int64), np.full(len(at), x), np.full(len(at), e), 2 * (100 + percent) * (len(delta) - at) - e, np.where(at < met, INDEX, 0) + np.where(at < meets, PROBE, 0)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()], strict=True)], ["entry", "id", "e", "cap", "role"])
+
+    return sets.select("id", "elements").mapInArrow(run, "entry long, id long, e long, cap long, role int")
+
+
 def all_hubs(rows: DataFrame) -> DataFrame:
     """id, hub: each member with the hubs of all its entries."""
     return rows.join(hubs_of(rows), "entry").where("id <> hub").select("id", "hub").distinct()
@@ -471,24 +485,25 @@ def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     discard(out)
     if rest.isEmpty():
         return found
-    rows = stored(rarest(rest), "rarest")
-    discard(rest)
-    rest, rows = rows, rows.select("entry", "id", "component", (-F.col("n")).alias("order"))
-    seen = sketch(sets.join(rest.select("id").distinct(), "id", "left_semi"))
+    left = stored(sets.join(rest.select("id").distinct(), "id", "left_semi"), "left")
+    discard(rest, shuffles=True)
+    seen = sketch(left)
+    rest = live(own_prefixes(left, percent, seen), found)
     for level in range(LEVELS + 1):
+        out = stored(compared(meeting(rest if level == LEVELS else rest.where("few")), left, percent), "compared")
+        found = merged(found, linked(out))
+        discard(out, shuffles=True)
+        rows = rest.where("not few").select("entry", "id", "component", F.col("e").alias("order"))
+        if level == LEVELS or rows.isEmpty():
+            break
         pairs = stored(all_hubs(rows), "hubs")
-        out = stored(compared(with_width(pairs), sets, percent, seen), "compared")
+        out = stored(compared(with_width(pairs), left, percent, seen), "compared")
         discard(rest, pairs)
         found = merged(found, linked(out))
         rest = live(out.where("role is not null").select(F.xxhash64("hub", "element").alias("entry"), "id", "e", "cap", "role"), found)
         discard(out, shuffles=True)
-        out = stored(compared(meeting(rest if level == LEVELS else rest.where("few")), sets, percent), "compared")
-        found = merged(found, linked(out))
-        discard(out, shuffles=True)
-        rows = rest.where("not few").select("entry", "id", "component", F.col("e").alias("order"))
-        if level == LEVELS or rows.isEmpty():
-            discard(rest)
-            return found
+    discard(rest, left)
+    return found
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -500,6 +515,11 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of df: doc_id, t (hash of the text), n_shingles, component_id; stored."""
+    with small_batches(df.sparkSession, BATCH):
+        return _classes(df, n, percent, key, text)
+
+
+def _classes(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     rows = stored(indexed(df, n, percent, key, text), "indexed")
     small = stored(rows.select("doc_id", "t", "n_shingles", "h1", "h2"), "classes")
     heads = small.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
