@@ -43,8 +43,8 @@ BITS = 20
 MOST_PER_CLASS = 4000
 MOST_FEATURES = 2048
 PENALTY = 1.0
-SLICE = 4 << 20
-WINDOW = 4 << 20
+SLICE = 1 << 20
+WINDOW = 1 << 20
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
