@@ -311,7 +311,7 @@ def present(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int, seen: np.ndarray | None = None) -> DataFrame:
-    """pairs: id, hub, wide. Of each linked pair a row id, hub; with seen, of the wide ones also rows element, e, cap, role: the prefixes of their deltas. cap: a partner with a larger e has too little in common from this element on."""
+    """pairs: id, hub, wide. Stored. Of each linked pair a row id, hub; with seen, of the wide ones also rows element, e, cap, role: the prefixes of their deltas. cap: a partner with a larger e has too little in common from this element on."""
     sent = None if seen is None else sets.sparkSession.sparkContext.broadcast(seen)  # a counter a bucket
     schema = pa.schema([("id", pa.int64()), ("hub", pa.int64()), ("element", pa.int64()), ("e", pa.int64()), ("cap", pa.int64()), ("role", pa.int32())])
 
@@ -344,9 +344,13 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int, seen: np.ndarray |
             if links or out:
                 yield rows()
 
-    left = sets.select("id", F.col("elements").alias("a"))
-    right = sets.select(F.col("id").alias("hub"), F.col("elements").alias("b"))
-    return pairs.join(left, "id").join(right, "hub").select("id", "hub", "wide", "a", "b").mapInArrow(run, "id long, hub long, element long, e long, cap long, role int")
+    # only sets that occur in pairs are shuffled
+    pairs = stored(pairs, "candidates")
+    left, right = (split_by_ids(sets, "id", pairs, c)[0] for c in ("id", "hub"))
+    both = pairs.join(left.select("id", F.col("elements").alias("a")), "id").join(right.select(F.col("id").alias("hub"), F.col("elements").alias("b")), "hub")
+    out = stored(both.select("id", "hub", "wide", "a", "b").mapInArrow(run, "id long, hub long, element long, e long, cap long, role int"), "compared")
+    discard(pairs)
+    return out
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -479,30 +483,29 @@ def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return out.where("role is null").select("id", "hub")
 
     # first one partner for each member: it connects most of what is connected
-    out = stored(compared(best_hubs(index), sets, percent), "compared")
+    out = compared(best_hubs(index), sets, percent)
     found = components(linked(out), "id", "hub")
     rest = open_entries(index.select("entry", "id", "band", "need"), found)
     discard(out)
     if rest.isEmpty():
         return found
-    left = stored(sets.join(rest.select("id").distinct(), "id", "left_semi"), "left")
     discard(rest, shuffles=True)
-    seen = sketch(left)
-    rest = live(own_prefixes(left, percent, seen), found)
+    seen = sketch(sets)
+    rest = live(own_prefixes(sets, percent, seen), found)
     for level in range(LEVELS + 1):
-        out = stored(compared(meeting(rest if level == LEVELS else rest.where("few")), left, percent), "compared")
+        out = compared(meeting(rest if level == LEVELS else rest.where("few")), sets, percent)
         found = merged(found, linked(out))
         discard(out, shuffles=True)
         rows = rest.where("not few").select("entry", "id", "component", F.col("e").alias("order"))
         if level == LEVELS or rows.isEmpty():
             break
         pairs = stored(all_hubs(rows), "hubs")
-        out = stored(compared(with_width(pairs), left, percent, seen), "compared")
+        out = compared(with_width(pairs), sets, percent, seen)
         discard(rest, pairs)
         found = merged(found, linked(out))
         rest = live(out.where("role is not null").select(F.xxhash64("hub", "element").alias("entry"), "id", "e", "cap", "role"), found)
         discard(out, shuffles=True)
-    discard(rest, left)
+    discard(rest)
     return found
 
 
