@@ -41,7 +41,10 @@ def at(c: Column, i: Column) -> Column:
 def mismatches(a: Column | str, b: Column | str, most: int = 0) -> Column:
     """0-based places at which two texts differ, over the shorter length; at most so many if most > 0."""
     a, b = col(a), col(b)
-    found = F.filter(places(F.least(F.length(a), F.length(b))), lambda i: at(a, i) != at(b, i))
+    n = F.least(F.length(a), F.length(b))
+    found = F.filter(places(n), lambda i: at(a, i) != at(b, i))
+    # most texts are equal, and one comparison says so
+    found = F.when(F.left(a, n) == F.left(b, n), F.array().cast("array<int>")).otherwise(found)
     return F.slice(found, 1, most) if most else found
 
 

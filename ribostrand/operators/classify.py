@@ -1,7 +1,9 @@
 """Classification of pairs: one result row for each pair.
 
-Strategies are functions DataFrame -> DataFrame by name; ``find_partial`` runs
-the kernel of ``functions.reads`` in Arrow batches, ``lookup`` is relational.
+Strategies are functions DataFrame -> DataFrame by name. ``lookup`` is
+relational. ``find_partial`` judges pairs in Arrow batches (``functions.reads``)
+and searches the targets by their words: in the tasks, which hold a word index,
+while the targets are small; by joins for any number of targets beyond that.
 """
 
 from __future__ import annotations
@@ -14,19 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import RunConfig
-from ..functions.reads import PairClassifier, Result, Target
+from ..functions.reads import Answers, Asked, Hit, PairClassifier, Result, Target
 from ..schema import RESULT
+from ..sources.work import written
+from . import index as I
 from . import pairs as P
 
-#: Targets are held by every task: at most so many bases of them.
+#: So many bases of targets are held by every task; beyond that, joins search them.
 MOST_TARGET_BASES = 64 << 20
+#: Judged pairs that a task remembers.
+MOST_KNOWN = 20_000
 
 
-def held_targets(targets: DataFrame) -> list[Target]:
-    """The targets on the driver, after a look at their size."""
+def held_targets(targets: DataFrame) -> list[Target] | None:
+    """The targets on the driver, after a look at their size; None if there is too much of them."""
     size = targets.agg(F.sum(F.length("seq")).alias("bases")).first()["bases"] or 0
     if size > MOST_TARGET_BASES:
-        raise ValueError(f"{size} bases of targets exceed {MOST_TARGET_BASES}; classify against parts of them, or seed with operators.index.seed_hits, which joins")
+        return None
     return [Target(r["target_id"], r["name"], r["seq"].upper().replace("U", "T")) for r in targets.orderBy("target_id").collect()]
 
 
@@ -57,30 +63,112 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+READY = "pair_id long, r1 string, r2 string, r1_qual string, r2_qual string, multiplicity long"
+
+
+def _ready(pairs: DataFrame) -> DataFrame:
+    have = set(pairs.columns)
+    quality = [F.col(q) if q in have else F.lit(None).cast("string").alias(q) for q in ("r1_qual", "r2_qual")]
+    weight = F.coalesce(F.col("multiplicity"), F.lit(1)).cast("long") if "multiplicity" in have else F.lit(1).cast("long")
+    return I.spread(P.non_empty(pairs).select("pair_id", "r1", "r2", *quality, weight.alias("multiplicity")), "pair_id")
+
+
 def find_partial(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:
-    """Seed, trim and judge every pair; equal pairs of a batch are judged once."""
+    """Seed, trim and judge every pair; equal pairs of a task are judged once."""
     config = config.resolve()
-    sent = pairs.sparkSession.sparkContext.broadcast(held_targets(targets))  # at most MOST_TARGET_BASES
-
+    held = held_targets(targets)
+    if held is None:
+        return find_by_joins(pairs, targets, config)
+    sent = pairs.sparkSession.sparkContext.broadcast(held)  # at most MOST_TARGET_BASES
     schema = arrow_schema(RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = PairClassifier(config, sent.value)
+        known: dict[tuple, Result] = {}
         for batch in batches:
-            known: dict[tuple, Result] = {}
-            rows = []
-            for pair_id, r1, r2, q1, q2, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = (r1, r2, q1, q2)
-                if key not in known:
-                    known[key] = classifier.classify(*key)
-                rows.append(result_row(pair_id, known[key], config, n))
+            ids, *reads, counts = (c.to_pylist() for c in batch.columns)
+            keys = [*zip(*reads, strict=True)]
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            new = [*{k: None for k in keys if k not in known}]
+            known |= zip(new, classifier.classify_many(new), strict=True)
+            rows = [result_row(i, known[k], config, n) for i, k, n in zip(ids, keys, counts, strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    have = set(pairs.columns)
-    quality = [F.col(q) if q in have else F.lit(None).cast("string").alias(q) for q in ("r1_qual", "r2_qual")]
-    weight = F.coalesce(F.col("multiplicity"), F.lit(1)).cast("long") if "multiplicity" in have else F.lit(1).cast("long")
-    ready = P.non_empty(pairs).select("pair_id", "r1", "r2", *quality, weight.alias("multiplicity"))
-    return ready.mapInArrow(run, RESULT)
+    return _ready(pairs).mapInArrow(run, RESULT)
+
+
+#: Searches that the judgement of one pair can ask for, one after the other.
+MOST_QUESTIONS = 4
+QUESTION = "query string, only int, need int"
+ANSWER = f"{QUESTION}, target_id int, seq string, n_targets int, q_start int, length int, t_start int"
+
+
+def answers(questions: DataFrame, targets: DataFrame, minimum: int) -> DataFrame:
+    """The longest stretch of each question (query, only: -1 for all targets, need: 0 for twice the minimum and then the minimum), as the word index finds it."""
+    asked = written(questions.distinct(), "questions").withColumn("query_id", F.monotonically_increasing_id())
+    plain = asked.select("query_id", F.col("query").alias("seq"), F.when(F.col("only") >= 0, F.col("only")).alias("only"), "need")
+    words = targets.select("target_id", F.translate(F.upper("seq"), "U", "T").alias("seq"))
+    first = I.best_match(I.seed_hits(plain.withColumn("need", F.when(F.col("need") > 0, F.col("need")).otherwise(2 * minimum)), words, None))
+    first = written(first, "answers")
+    open_ = plain.where("need = 0").drop("need").join(first.select("query_id"), "query_id", "left_anti")
+    found = first.unionByName(I.best_match(I.seed_hits(open_, words, minimum)))
+    return asked.join(found.join(words, "target_id"), "query_id", "left").select(*[x.split()[0] for x in ANSWER.split(", ")])
+
+
+def find_by_joins(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:
+    """find_partial for any number of targets: no task holds them.
+
+    A pair is judged as far as the searches known for it go; the first one
+    that is not known is a question. The distinct questions of all pairs are
+    answered by joins on words, and the pairs that asked are judged again. No
+    pair asks more than MOST_QUESTIONS times. Each round is written down.
+    """
+    if config.allow_indeterminate:
+        raise ValueError("joins on words compare bases, not ambiguity codes; allow_indeterminate needs targets that a task can hold")
+    few = [Target(r["target_id"], r["name"], r["seq"].upper().replace("U", "T")) for r in targets.orderBy("target_id").limit(2).collect()]
+    known_type = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split() for x in ANSWER.split(', ')))}>>"
+    result_type = StructType.fromDDL(RESULT).simpleString()
+    ddl = f"{READY}, known {known_type}, {QUESTION}, result {result_type}"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Answers(few)
+        classifier = PairClassifier(config, few, index)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                index.known = {(k["query"], k["only"], k["need"]): _as_hit(k) for k in row["known"]}
+                row |= {"query": None, "only": None, "need": None, "result": None}
+                try:
+                    result = classifier.classify(row["r1"], row["r2"], row["r1_qual"], row["r2_qual"])
+                    row["result"] = result_row(row["pair_id"], result, config, row["multiplicity"])
+                except Asked as e:
+                    row["query"], row["only"], row["need"] = e.question
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    pending, done = _ready(pairs).withColumn("known", F.array().cast(known_type)), []
+    for k in range(MOST_QUESTIONS + 1):
+        state = written(pending.mapInArrow(run, ddl), "judged")
+        done.append(state.where("result IS NOT NULL").select("result.*"))
+        asking = state.where("result IS NULL")
+        if k == MOST_QUESTIONS or asking.isEmpty():
+            break
+        told = answers(asking.select("query", "only", "need"), targets, config.minimum_target_match_length)
+        names = [x.split()[0] for x in ANSWER.split(", ")]
+        told = told.select("query", "only", "need", F.struct(*names).alias("answer"))
+        pending = asking.join(told, ["query", "only", "need"]).select(*[x.split()[0] for x in READY.split(", ")], F.concat("known", F.array("answer")).alias("known"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _as_hit(answer: dict) -> Hit | None:
+    if answer["target_id"] is None:
+        return None
+    target = Target(answer["target_id"], "", answer["seq"])
+    return Hit((target,) * answer["n_targets"], answer["q_start"], answer["length"], answer["t_start"])
 
 
 def lookup(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:

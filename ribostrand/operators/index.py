@@ -20,33 +20,62 @@ def kmer_index(targets: DataFrame, k: int = WORD) -> DataFrame:
     return places.select("target_id", "pos", F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("word"))
 
 
-def check_sites(length: Column, need: int, k: int = WORD) -> Column:
+def check_sites(length: Column, need: int | Column, k: int = WORD) -> Column:
     """The query places at which a stretch of so many bases must show a word."""
-    step = max(need - k, 1)
-    last = length - max(step, k)
-    return F.when(length < k, F.array().cast("array<int>")).when(last <= 0, F.array(F.greatest(last, F.lit(0)))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), last - 1, F.lit(step)), F.array(last))))
+    step = F.greatest((F.lit(need) if isinstance(need, int) else need) - k, F.lit(1))
+    last = length - F.greatest(step, F.lit(k))
+    return F.when(length < k, F.array().cast("array<int>")).when(last <= 0, F.array(F.greatest(last, F.lit(0)))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), last - 1, step), F.array(last))))
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two texts."""
-    n = F.least(F.length(a), F.length(b))
-    first = F.filter(S.places(n), lambda i: S.at(a, i) != S.at(b, i))
-    return F.when(F.size(first) > 0, F.element_at(first, 1)).otherwise(n)
+def _common(a: Column, b: Column, last: bool = False) -> Column:
+    """Length of the common prefix (last: suffix) of two texts, by halving: a few comparisons of whole parts."""
+    n, part = F.least(F.length(a), F.length(b)), F.right if last else F.left
+    powers = F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    longer = lambda m, p: F.when((m + p <= n) & (part(a, m + p) == part(b, m + p)), m + p).otherwise(m)
+    return F.when(part(a, n) == part(b, n), n).otherwise(F.aggregate(powers, F.lit(0), longer))
 
 
-def seed_hits(queries: DataFrame, targets: DataFrame, need: int, key: str = "query_id", k: int = WORD) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key, as many partitions as shuffles have: small inputs and single files come as one partition, and what follows is much work for each row."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def _extended(seeds: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """keep, left and right: by how much each seed (q, site, t, pos) goes on to both sides.
+
+    The parts to compare are one struct of a generator, so that the optimiser
+    neither copies the comparison into a join's condition nor runs it twice.
+    """
+    parts = F.struct(
+        F.substring("q", F.lit(1), F.col("site")).alias("qa"), F.substring("t", F.lit(1), F.col("pos")).alias("ta"),
+        F.substring("q", F.col("site") + k + 1, F.length("q")).alias("qb"), F.substring("t", F.col("pos") + k + 1, F.length("t")).alias("tb"),
+    )
+    sides = F.transform(F.array(parts), lambda s: F.struct(_common(s["qa"], s["ta"], True).alias("left"), _common(s["qb"], s["tb"]).alias("right")))
+    return seeds.select(*keep, F.inline(sides))
+
+
+def seed_hits(queries: DataFrame, targets: DataFrame, need: int | None, key: str = "query_id", k: int = WORD) -> DataFrame:
     """All distinct exact stretches of at least need bases: key, target_id, q_start, length, t_start.
 
-    queries: key and seq. Words at the check sites are joined with the target
-    words, then each seed is extended to both sides.
+    queries: key and seq; also need where the number is None (each query's own),
+    and only, the one target to search (null: all), if there is such a column.
+    Words at the check sites are joined with the target words, then each seed is
+    extended to both sides.
     """
-    sites = queries.select(key, F.col("seq").alias("q"), F.explode(check_sites(F.length("seq"), need, k)).alias("site")).withColumn("word", F.substring("q", F.col("site") + 1, F.lit(k)))
-    seeds = sites.join(kmer_index(targets, k), "word").join(targets.select("target_id", F.col("seq").alias("t")), "target_id")
-    left = _common(F.reverse(F.substring("q", F.lit(1), F.col("site"))), F.reverse(F.substring("t", F.lit(1), F.col("pos"))))
-    right = _common(F.substring("q", F.col("site") + k + 1, F.length("q")), F.substring("t", F.col("pos") + k + 1, F.length("t")))
-    found = seeds.withColumn("left", left).withColumn("right", right)
-    out = found.select(key, "target_id", (F.col("site") - F.col("left")).alias("q_start"), (F.col("left") + F.col("right") + k).alias("length"), (F.col("pos") - F.col("left")).alias("t_start"), "site", "pos")
-    return out.where(F.col("length") >= need).groupBy(key, "target_id", "q_start", "length", "t_start").agg(F.min("site").alias("site"), F.min("pos").alias("pos"))
+    least = F.col("need") if need is None else F.lit(need)
+    restricted = "only" in queries.columns
+    ready = spread(queries, key).select(key, F.col("seq").alias("q"), least.cast("int").alias("need"), *(["only"] if restricted else []))
+    sites = ready.select("*", F.explode(check_sites(F.length("q"), F.col("need"), k)).alias("site")).withColumn("word", F.substring("q", F.col("site") + 1, F.lit(k)))
+    words = kmer_index(targets, k)
+    if restricted:
+        named, free = sites.where("only IS NOT NULL"), sites.where("only IS NULL")
+        seeds = free.join(words, "word").unionByName(named.join(words.withColumn("only", F.col("target_id")), ["word", "only"]))
+    else:
+        seeds = sites.join(words, "word")
+    placed = seeds.join(targets.select("target_id", F.col("seq").alias("t")), "target_id")
+    found = _extended(placed, [key, "target_id", "need", "site", "pos"], k)
+    out = found.select(key, "target_id", (F.col("site") - F.col("left")).alias("q_start"), (F.col("left") + F.col("right") + k).alias("length"), (F.col("pos") - F.col("left")).alias("t_start"), "need", "site", "pos")
+    return out.where("length >= need").groupBy(key, "target_id", "q_start", "length", "t_start").agg(F.min("site").alias("site"), F.min("pos").alias("pos"))
 
 
 def best_match(hits: DataFrame, key: str = "query_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import sequences as S
 from ..functions.reads import ADAPTER, COTRANS_MIN, DUMBBELL, ERRORS, INDETERMINATE, LINKER, MASK, MULTIPLE, NO_MATCH, NOT_FULL, OVERLAP, rc
-from .index import self_matches
+from .index import self_matches, spread
 
 HANDLE = 4
 BASES = "ACGT"
@@ -101,13 +101,8 @@ def _by_start(pairs: DataFrame, table: DataFrame, length: int) -> DataFrame:
     return found.unionByName(pairs.join(found.select("pair_id").distinct(), "pair_id", "left_anti"), allowMissingColumns=True)
 
 
-def _rows_of(table: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds the number of rows that share a row's keys."""
-    return table.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-
-
 def _chosen(judged: DataFrame, config: RunConfig) -> DataFrame:
-    """One row of several for a pair: the first hit that passes, else what the last one failed on; hits that cannot be told apart reject the pair."""
+    """One row for a pair: the first hit that passes, else what the last one failed on; hits that cannot be told apart reject the pair."""
     every = Window.partitionBy("pair_id")
     judged = judged.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "trim"))).withColumn("_multi", F.max("_n").over(every))
     failure = F.when(F.col("_multi") > 1, MULTIPLE).otherwise(F.col("failure"))
@@ -122,31 +117,31 @@ def _chosen(judged: DataFrame, config: RunConfig) -> DataFrame:
 def classify(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFrame:
     """Results of the lookup strategy, a row for each pair.
 
-    Pairs are joined once with the keys that R1 can show and once with those
-    that R2 can show. Where the tables are small enough to broadcast, pairs
-    whose keys name one row are not shuffled at all; only those with several
-    rows are gathered by pair_id, to choose among them.
+    Pairs are read once and dealt out by pair_id, joined with the keys that R1
+    can show and with those that R2 can show, judged, and one hit of each is
+    chosen. Where the tables are small enough to broadcast, the rows of a pair
+    stay where they were dealt to, so there is no other shuffle.
     """
     have = set(pairs.columns)
     weight = F.coalesce(F.col("multiplicity"), F.lit(1)).cast("long") if "multiplicity" in have else F.lit(1).cast("long")
     quality = [F.col(q) if q in have else F.lit(None).cast("string").alias(q) for q in ("r1_qual", "r2_qual")]
     pairs = pairs.where((F.length("r1") > 0) & (F.length("r2") > 0)).select("pair_id", F.upper("r1").alias("r1"), F.upper("r2").alias("r2"), *quality, weight.alias("multiplicity"))
     size = config.pair_length or (pairs.agg(F.max(F.length("r1")).alias("n")).first()["n"] or 36)
-    masked = pairs.withColumn("mask", S.handle("r1", config.masks))
+    masked = spread(pairs, "pair_id").withColumn("mask", S.handle("r1", config.masks))
     length = size - HANDLE
     second_length = length - (len(config.cotrans_linker) if config.cotrans else 0)
     bases = targets.agg(F.sum(F.length("seq").cast("long")).alias("n"), F.count(F.lit(1)).alias("rows")).first()  # one row
     each = 1 + (3 * length if config.count_mutations else 0)
     places = (bases["n"] or 0) * length if config.cotrans else bases["rows"] * length
     sized = lambda df, rows: F.broadcast(df) if rows <= MOST_BROADCAST else df
-    first = _rows_of((cotrans_table if config.cotrans else r1_table)(targets, config, size), ["key"], "_rows1")
+    first = (cotrans_table if config.cotrans else r1_table)(targets, config, size)
     first = first.join(sized(targets.select("target_id", "seq"), (bases["n"] or 0) // 100), "target_id")
     second = r2_table(targets, config, second_length)
     lengths = second.select("target_id", "r2_len").distinct()
     first = first.join(sized(lengths, bases["rows"]), "target_id", "left")
-    second = _rows_of(second.select("target_id", "key2", "r2_site").distinct(), ["target_id", "key2"], "_rows2")
+    second = second.select("target_id", "key2", "r2_site").distinct()
     if _short_keys(config, length):
-        hits = _by_start(masked, first, length).withColumn("_rows1", F.lit(2))
+        hits = _by_start(masked, first, length)
     else:
         body = F.when(F.col("mask").isNotNull(), F.substring("r1", F.lit(HANDLE + 1), F.length("r1")))
         hits = masked.join(sized(first, places * each), body == F.col("key"), "left")
@@ -155,11 +150,7 @@ def classify(pairs: DataFrame, targets: DataFrame, config: RunConfig) -> DataFra
     hits = hits.join(sized(second, (bases["n"] or 0) * each), ["target_id", "key2"], "left")
     hit = F.col("target_id").isNotNull()
     judged = (_cotrans if config.cotrans else _single)(hits, config)
-    several = (F.coalesce("_rows1", F.lit(1)) > 1) | (F.coalesce("_rows2", F.lit(1)) > 1)
-    alone = judged.where(~several)
-    if config.cotrans:
-        alone = alone.withColumn("failure", F.when(F.col("site") < config.cotrans_minimum_length, COTRANS_MIN).otherwise(F.col("failure")))
-    out = alone.unionByName(_chosen(judged.where(several), config))
+    out = _chosen(judged, config)
     good = hit & F.col("failure").isNull()
     failure = F.when(F.col("mask").isNull(), MASK).when(~hit, NO_MATCH).otherwise(F.col("failure"))
     none = F.array().cast("array<int>")

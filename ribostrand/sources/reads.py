@@ -1,8 +1,8 @@
 """Read files as DataFrames: FASTQ pairs, FASTA, SAM, ABIF traces, tables.
 
-``FastqPairs`` is a Spark data source (format ``fastq_pairs``): a partition for
-each file pair, R1 and R2 read in step (records of the two files stand at
-different bytes), gzip by file name; large runs come as many file pairs.
+``FastqPairs`` is a Spark data source (format ``fastq_pairs``) whose tasks read R1
+and R2 in step. ``read_fastq`` splits large pairs of plain or block gzip files by
+record number (``ranges``); other gzip files are a task for each pair.
 ``FastqText`` (``fastq_text``) reads single files by byte ranges. Paths are opened
 through pyarrow's file systems, so shared stores work where executors reach them.
 """
@@ -11,51 +11,29 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
+import json
 import struct
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ranges import BATCH, SPLIT_BYTES, Records, estimated_records, file_size, granules, is_splittable, located, lockstep
+
 FASTQ = "pair_id long, identifier string, r1 string, r2 string, r1_qual string, r2_qual string, multiplicity long, channel string"
 FASTQ_NAMES = [x.split()[0] for x in FASTQ.split(", ")]
 
 
-#: Records in an Arrow batch, and bytes of plain text that one task reads.
-BATCH = 8192
-SPLIT_BYTES = 64 << 20
-
-
-def located(path: str):
-    """(file system, name in it) of a path or URI."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 def open_text(path: str) -> io.TextIOBase:
     system, name = located(path)
     raw = system.open_input_stream(name, compression=None)
     return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, encoding="ascii", errors="replace")
 
 
-def records(lines) -> Iterator[tuple[list[str], list[str], list[str], list[str]]]:
-    """Heads, sequences, + lines and qualities of four-line records, BATCH at a time; an empty head ends the file."""
-    while block := [x.rstrip("\r\n") for x in islice(lines, 4 * BATCH)]:
-        end = next((i for i in range(0, len(block), 4) if not block[i].strip()), len(block))
-        last = end < len(block) or end < 4 * BATCH
-        block = block[:end] + [""] * (-end % 4)
-        if block:
-            yield block[::4], block[1::4], block[2::4], block[3::4]
-        if last:
-            return
-
-
 def first_words(heads: list[str]) -> list[str]:
     return [h.split()[0].removeprefix("@") for h in heads]
 
@@ -65,8 +43,21 @@ def paths_of(value: str) -> list[str]:
 
 
 class FilePair(InputPartition):
-    def __init__(self, number: int, r1: str, r2: str, channel: str | None):
+    """n records (None: all) of a file pair from number first on; R1 is read from start1, R2 from start2 without its next skip2 records."""
+
+    def __init__(self, number: int, r1: str, r2: str, channel: str | None, first: int = 0, n: int | None = None, start1: int = 0, start2: int = 0, skip2: int = 0):
         self.number, self.r1, self.r2, self.channel = number, r1, r2, channel
+        self.first, self.n, self.start1, self.start2, self.skip2 = first, n, start1, start2, skip2
+
+
+def file_pairs(options: dict) -> list[FilePair]:
+    out: list[FilePair] = []
+    for suffix, channel in (("", None), ("_plus", "treated"), ("_minus", "untreated")):
+        firsts, seconds = (paths_of(options.get(f"{r}{suffix}", "")) for r in ("r1", "r2"))
+        if len(firsts) != len(seconds):
+            raise ValueError("as many R2 files as R1 files are needed")
+        out += [FilePair(len(out) + i, a, b, channel) for i, (a, b) in enumerate(zip(firsts, seconds, strict=True))]
+    return out
 
 
 class FastqReader(DataSourceReader):
@@ -74,12 +65,11 @@ class FastqReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[FilePair]:
-        out: list[FilePair] = []
-        for suffix, channel in (("", None), ("_plus", "treated"), ("_minus", "untreated")):
-            firsts, seconds = (paths_of(self.options.get(f"{r}{suffix}", "")) for r in ("r1", "r2"))
-            if len(firsts) != len(seconds):
-                raise ValueError("as many R2 files as R1 files are needed")
-            out += [FilePair(len(out) + i, a, b, channel) for i, (a, b) in enumerate(zip(firsts, seconds, strict=True))]
+        pairs, out = file_pairs(self.options), []
+        plan = json.loads(self.options.get("plan", "{}"))
+        for p in pairs:
+            tasks = plan.get(str(p.number))
+            out += [p] if tasks is None else [FilePair(p.number, p.r1, p.r2, p.channel, *t) for t in tasks]
         return out
 
     def read(self, part: FilePair | None) -> Iterator[pa.RecordBatch]:
@@ -87,23 +77,28 @@ class FastqReader(DataSourceReader):
             return
         on = lambda name, default: self.options.get(name, default) == "true"
         nomask, quality = on("nomask", "false"), on("quality", "true")
-        strict, done = on("strict", "false") or nomask, 0
-        with open_text(part.r1) as a, open_text(part.r2) as b:
-            for x, y in zip(records(a), records(b), strict=False):
-                n = min(len(x[0]), len(y[0]))
-                names = [(first_words(heads[:n]), [p[1:] for p in plus[:n]]) for heads, _, plus, _ in (x, y)]
-                for k in range(n if strict else int(not done)):
-                    mine, other = ((w[0][k], w[1][k]) if nomask else w[0][k] for w in names)
-                    if mine != other:
-                        raise ValueError(f"record {done + k} of {part.r1} is {mine}, that of {part.r2} is {other}")
-                ids = [int(i) for i in names[0][0]] if nomask else range((part.number << 40) + done, (part.number << 40) + done + n)
-                columns = [ids, names[0][int(nomask)], x[1][:n], y[1][:n], x[3][:n] if quality else [None] * n, y[3][:n] if quality else [None] * n, [1] * n, [part.channel] * n]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()], strict=True)], names=FASTQ_NAMES)
-                done += n
+        strict, done, left = on("strict", "false") or nomask, part.first, part.n
+        a, b = Records(part.r1, part.start1), Records(part.r2, part.start2)
+        b.skip(part.skip2)
+        while left is None or left > 0:
+            most = BATCH if left is None else min(BATCH, left)
+            x, y = a.take(most), b.take(most)
+            n = min(len(x[0]), len(y[0]))
+            if not n:
+                return
+            names = [(first_words(heads[:n]), [p[1:] for p in plus[:n]]) for heads, _, plus, _ in (x, y)]
+            for k in range(n if strict else int(not done)):
+                mine, other = ((w[0][k], w[1][k]) if nomask else w[0][k] for w in names)
+                if mine != other:
+                    raise ValueError(f"record {done + k} of {part.r1} is {mine}, that of {part.r2} is {other}")
+            ids = [int(i) for i in names[0][0]] if nomask else range((part.number << 40) + done, (part.number << 40) + done + n)
+            columns = [ids, names[0][int(nomask)], x[1][:n], y[1][:n], x[3][:n] if quality else [None] * n, y[3][:n] if quality else [None] * n, [1] * n, [part.channel] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()], strict=True)], names=FASTQ_NAMES)
+            done, left = done + n, None if left is None else left - n
 
 
 class FastqPairs(DataSource):
-    """Options: r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict (compare identifiers of all records, not only the first), quality; nomask (heads are numbers, which become pair_id, and the identifier stands on the + line; both must agree)."""
+    """Options: plan (see split_plan); r1, r2 (comma-separated files), or r1_plus/r2_plus and r1_minus/r2_minus by channel; strict (compare identifiers of all records, not only the first), quality; nomask (heads are numbers, which become pair_id, and the identifier stands on the + line; both must agree)."""
 
     @classmethod
     def name(cls) -> str:
@@ -121,37 +116,8 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def range_lines(part: Range) -> Iterator[str]:
-    """The lines of the records that begin in a byte range of a plain file (end None: all of a file, gzip by name).
-
-    The range may begin anywhere: a record begins at a line with @ of which the
-    second next begins with +. A quality line may begin with @ too, but a
-    sequence never begins with +.
-    """
-    if part.end is None:
-        with open_text(part.path) as whole:
-            yield from whole
-        return
-    system, name = located(part.path)
-    with system.open_input_file(name) as raw:
-        at = max(0, part.start - 1)
-        raw.seek(at)
-        lines = io.BufferedReader(raw, 1 << 20)
-        if part.start:
-            at += len(lines.readline())
-        held = list(islice(lines, 6)) if part.start else []
-        skip = next((i for i in range(len(held) - 2) if held[i].startswith(b"@") and held[i + 2].startswith(b"+")), 0 if not held else len(held))
-        at += sum(map(len, held[:skip]))
-        lines, k = chain(held[skip:], lines), 0
-        for line in lines:
-            if k % 4 == 0 and at >= part.end:
-                return
-            yield line.decode("ascii", "replace")
-            at, k = at + len(line), k + 1
-
-
 class FastqText(DataSource):
-    """Options: path (comma-separated files), split_bytes. Plain files are read by byte ranges, gzip files (which cannot be split) by one task each."""
+    """Options: path (comma-separated files), split_bytes. Plain and block gzip files are read by byte ranges, other gzip files by one task each."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,30 +137,50 @@ class FastqTextReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         step, out = int(self.options.get("split_bytes", SPLIT_BYTES)), []
         for path in paths_of(self.options["path"]):
-            system, name = located(path)
-            size = system.get_file_info(name).size
-            out += [Range(path, 0, None)] if path.endswith(".gz") else [Range(path, at, at + step) for at in range(0, size, step)]
+            out += [Range(path, at, at + step) for at in range(0, file_size(path), step)] if is_splittable(path) else [Range(path, 0, None)]
         return out
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no partitions
             return
-        for heads, seqs, _, qualities in records(range_lines(part)):
+        own = Records(part.path, part.start, part.end)
+        while (block := own.take(BATCH))[0]:
+            heads, seqs, _, qualities = block
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (first_words(heads), seqs, qualities)], names=["identifier", "seq", "quality"])
 
 
-def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = False, quality: bool = True, partitions: int = 0, nomask: bool = False) -> DataFrame:
-    """Pairs of one or several file pairs; partitions spreads what single large files hold; nomask: see FastqPairs."""
+def split_plan(spark: SparkSession, options: dict, split_bytes: int = SPLIT_BYTES, granule_bytes: int | None = None) -> dict[str, list]:
+    """Tasks (first, n, start1, start2, skip2) by file pair, of the pairs that can be split and are larger than a task.
+
+    Runs the job that counts records; the driver gets a row for each task.
+    """
+    large = [p for p in file_pairs(options) if file_size(p.r1) > split_bytes and is_splittable(p.r1) and is_splittable(p.r2)]
+    if not large:
+        return {}
+    size = granule_bytes or min(split_bytes, max(1 << 20, split_bytes // 16))
+    counted = granules(spark, [(p.number, side, path) for p in large for side, path in ((1, p.r1), (2, p.r2))], size).persist(StorageLevel.MEMORY_AND_DISK)
+    plan: dict[str, list] = {str(p.number): [] for p in large}
+    for t in lockstep(counted, split_bytes).collect():
+        plan[str(t["pair"])].append([t["first"], t["n"], t["start1"], t["start2"], t["skip2"]])
+    counted.unpersist()
+    return plan
+
+
+def _load(spark: SparkSession, options: dict, split_bytes: int) -> DataFrame:
     spark.dataSource.register(FastqPairs)
+    return spark.read.format("fastq_pairs").options(**options, plan=json.dumps(split_plan(spark, options, split_bytes))).load()
+
+
+def read_fastq(spark: SparkSession, r1: str | list[str], r2: str | list[str], strict: bool = False, quality: bool = True, partitions: int = 0, nomask: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Pairs of one or several file pairs, a task for about split_bytes of each R1; partitions spreads what gzip files that cannot be split hold; nomask: see FastqPairs."""
     joined = [",".join(x) if isinstance(x, list) else x for x in (r1, r2)]
-    out = spark.read.format("fastq_pairs").options(r1=joined[0], r2=joined[1], strict=str(strict).lower(), quality=str(quality).lower(), nomask=str(nomask).lower()).load()
+    out = _load(spark, {"r1": joined[0], "r2": joined[1], "strict": str(strict).lower(), "quality": str(quality).lower(), "nomask": str(nomask).lower()}, split_bytes)
     return out.repartition(partitions) if partitions else out
 
 
-def read_channels(spark: SparkSession, plus: tuple[str, str], minus: tuple[str, str], masks: tuple[str, str] = ("RRRY", "YYYR")) -> DataFrame:
+def read_channels(spark: SparkSession, plus: tuple[str, str], minus: tuple[str, str], masks: tuple[str, str] = ("RRRY", "YYYR"), split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Pairs whose channel is known by file: adds forced_mask."""
-    spark.dataSource.register(FastqPairs)
-    out = spark.read.format("fastq_pairs").options(r1_plus=plus[0], r2_plus=plus[1], r1_minus=minus[0], r2_minus=minus[1]).load()
+    out = _load(spark, {"r1_plus": plus[0], "r2_plus": plus[1], "r1_minus": minus[0], "r2_minus": minus[1]}, split_bytes)
     return out.withColumn("forced_mask", F.when(F.col("channel") == "treated", masks[0]).when(F.col("channel") == "untreated", masks[1]))
 
 
@@ -272,9 +258,5 @@ def preseq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def estimated_pairs(path: str) -> int:
-    """About how many records an uncompressed FASTQ file has: its size over that of the first record."""
-    import os
-
-    with open(path, "rb") as f:
-        first = sum(len(f.readline()) for _ in range(4))
-    return os.path.getsize(path) // first if first else 0
+    """About how many records a FASTQ file has, plain or gzip."""
+    return estimated_records(path)

@@ -1,5 +1,7 @@
 """Alignment, edit distance, options and column functions."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ribostrand.config import RunConfig
 from ribostrand.functions import sequences as S
-from ribostrand.functions.alignment import Scoring, align, edit_distance
+from ribostrand.functions.alignment import Scoring, align, align_many, edit_distance
 from ribostrand.functions.reads import near_places, overlap_start, rc
 
 RUN, OTHER = "CCCCCAAAAAAAAAAAAAAAAAAAAAACCCC", "TTTTAAAAAAAAAAAAAAAAAAAAAATTTTT"
@@ -36,6 +38,32 @@ def test_identity(s):
     assert overlap_start(s, s) == 0 and near_places(s, s, 0) == [0]
 
 
+SCORINGS = (Scoring(), Scoring(3, 2, 5, 1), Scoring(3, 2, 5, 1, front=False), Scoring(3, 4, 5, 1, front_clip=False), Scoring(ends=False), Scoring(3, 2, 5, 1, back_clip=True), Scoring(3, 2, 5, 1, compare=lambda a, b: 3 if a == b else 1.5 if "N" in (a, b) else -2))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sampled_from(range(len(SCORINGS))), st.lists(st.tuples(st.text("ACGN", min_size=1, max_size=14), st.text("ACGN", min_size=1, max_size=22), st.booleans()), max_size=12))
+def test_many_alignments_are_single_ones(scoring, wanted):
+    """Scores, ends, indels in order, mismatches and runs; strings of any sizes together, equal pairs among them."""
+    s = SCORINGS[scoring]
+    assert [(a, [*a.indels.items()]) for a in align_many(wanted + wanted[:2], s)] == [(a, [*a.indels.items()]) for a in (align(x, y, s, m) for x, y, m in wanted + wanted[:2])]
+
+
+def test_many_long_alignments(monkeypatch):
+    from ribostrand.functions import alignment
+
+    monkeypatch.setattr(alignment, "MOST_CELLS", 20_000)
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    wanted = []
+    for k in range(60):
+        t = some(rng.randrange(40, 90))
+        a, b = sorted(rng.sample(range(len(t)), 2))
+        wanted.append((t[a : a + 12] + some(rng.randrange(4)) + t[b : b + 15], t, k % 2 == 0))
+    assert align_many(wanted, Scoring(3, 2, 5, 1)) == [align(x, y, Scoring(3, 2, 5, 1), m) for x, y, m in wanted]
+    assert align_many([]) == []
+
+
 def test_edit_distance():
     assert edit_distance("ACGT", "AGT")[0] == 1 and edit_distance("ACGT", "TCGA")[0] == 4
     assert edit_distance("AACC", "GAAC")[2] == 2
