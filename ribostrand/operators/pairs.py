@@ -64,9 +64,44 @@ def page(pairs: DataFrame, after: int = -1, size: int = 1000) -> DataFrame:
     return pairs.where(F.col("pair_id") > after).orderBy("pair_id").limit(size)
 
 
+#: Hex digits of the hash that one pass counts by (65,536 counters), and rows that the last cut may sort.
+DIGITS, MOST_SORTED = 4, 10_000
+
+
+def sample_hash(seed: int) -> Column:
+    """A hash of a pair by which it is drawn: 32 hex digits."""
+    return F.md5(F.concat_ws(":", "identifier", F.col("pair_id").cast("string"), F.lit(str(seed))))
+
+
 def sample(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n pairs, the same ones for the same seed: those of the smallest hashes."""
-    return pairs.orderBy(F.xxhash64("identifier", "pair_id", F.lit(seed)), "pair_id").limit(n)
+    """n pairs (all, if fewer), the same ones for the same seed however the table is partitioned: those of the smallest hashes, then ids.
+
+    Counts of the hashes' first digits tell below which of them all pairs are
+    drawn; the one in which the n-th lies is counted by its next digits, until
+    few enough pairs are left to be sorted. No task sorts the table.
+    """
+    if n <= 0:
+        return pairs.limit(0)
+    name = "_hash"
+    while name in pairs.columns:
+        name = "_" + name
+    keyed = pairs.withColumn(name, sample_hash(seed))
+    digits = F.col(name)
+    low, left = "", n  # all hashes below the prefix low are drawn, and left more of those that begin with it
+    while len(low) < 32:
+        inside = keyed.where(digits.startswith(low)) if low else keyed
+        counts = {r["k"]: r["n"] for r in inside.groupBy(F.substring(digits, len(low) + 1, DIGITS).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not low and sum(counts.values()) <= n:
+            return pairs
+        for k in sorted(counts):
+            if counts[k] >= left:
+                break
+            left -= counts[k]
+        low += k
+        if counts[k] <= MOST_SORTED:
+            break
+    last = keyed.where(digits.startswith(low)).orderBy(name, "pair_id").limit(left)
+    return keyed.where(digits < low).unionByName(last).drop(name)
 
 
 def union(*frames: DataFrame) -> DataFrame:

@@ -120,7 +120,44 @@ def wipe(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Widths of bins: 2 ** (FINEST + 3 * level) places.
+FINEST, LEVELS = 4, 20
+
+
+def region_bins(regions: DataFrame) -> DataFrame:
+    """Regions by level and bin: on the finest level on which a region lies in at most two bins, a row for each of them."""
+    level = None
+    for k in range(LEVELS):
+        bits = FINEST + 3 * k
+        near = (F.shiftright("stop", bits) - F.shiftright("start", bits)) <= 1
+        level = F.when(near, k) if level is None else level.when(near, k)
+    levelled = regions.where(F.col("start") <= F.col("stop")).withColumn("level", level)
+    bits = FINEST + 3 * F.col("level")
+    first, last = (F.call_function("shiftright", F.col(c), bits) for c in ("start", "stop"))
+    return levelled.select("*", F.explode(F.array_distinct(F.array(first, last))).alias("bin"))
+
+
+def in_regions(places: DataFrame, regions: DataFrame, column: str = "place") -> DataFrame:
+    """The distinct places that lie in a region (start, stop, inclusive), by joins on bins: any number of regions of any length.
+
+    A target_id that both tables have must be equal, too.
+    """
+    both = [c for c in ("target_id",) if c in places.columns and c in regions.columns]
+    binned = region_bins(regions.select(*both, F.col("start").cast("long"), F.col("stop").cast("long")).distinct())
+    levels = binned.select("level").distinct()  # at most LEVELS rows
+    asked = places.select(*both, F.col(column).cast("long").alias("_place")).where("_place IS NOT NULL").distinct().join(F.broadcast(levels))
+    asked = asked.withColumn("bin", F.call_function("shiftright", F.col("_place"), FINEST + 3 * F.col("level")))
+    met = asked.join(binned, [*both, "level", "bin"]).where(F.col("_place").between(F.col("start"), F.col("stop")))
+    return met.select(*both, F.col("_place").alias(column)).distinct()
+
+
 def by_region(results: DataFrame, regions: DataFrame) -> DataFrame:
-    """Rows whose site or mutations lie in a region (start, stop, inclusive) of a small table."""
-    inside = F.exists("mutations", lambda m: m.between(F.col("start"), F.col("stop"))) | F.col("site").between(F.col("start"), F.col("stop"))
-    return results.join(regions, inside, "left_semi")
+    """Rows whose site or mutations lie in a region (start, stop, inclusive; by target_id, if regions have one), each once."""
+    if results.isEmpty():
+        return results
+    own, place = "_row", "_place_"
+    spots = F.array_distinct(F.filter(F.concat(F.array(F.col("site").cast("int")), F.coalesce("mutations", F.array().cast("array<int>"))), lambda x: x.isNotNull()))
+    spread = results.withColumn(own, F.monotonically_increasing_id()).withColumn(place, F.explode(spots))
+    both = [c for c in ("target_id",) if c in results.columns and c in regions.columns]
+    inside = in_regions(spread.select(*both, place), regions, place)
+    return spread.withColumn(place, F.col(place).cast("long")).join(inside, [*both, place], "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in results.columns])

@@ -90,7 +90,7 @@ def union_inputs(spark, d):
     return P.union(p, p.select((F.col("pair_id") + 1000000).alias("pair_id"))).agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("pair_id").alias("ids"))
 
 
-@query()
+@query(B.sql("SELECT pair_id, r1, r2 FROM pr ORDER BY md5(concat_ws(':', identifier, pair_id, 0)), pair_id LIMIT 100"))
 def sample(spark, d):
     return P.sample(B.pairs(spark, d), 100).select("pair_id", "r1", "r2")
 
@@ -125,6 +125,40 @@ def near_places(spark, d):
     return both.select("pair_id", F.array_join(S.find_with_errors(F.substring("seq", F.col("made_site") + 1, F.lit(12)), "r2", 1), ",").alias("places"))
 
 
+@query(B.sql("SELECT identifier, r1, r2, repeat('I', CAST(length(r1) AS INTEGER)) AS r1_qual, repeat('I', CAST(length(r2) AS INTEGER)) AS r2_qual FROM pr"))
+def fastq_round_trip(spark, d):
+    """Pairs written as block gzip shards and read back, large shards by record ranges."""
+    from ..sinks.exports import write_fastq
+    from ..sinks.shards import shard_files
+    from ..sources.reads import read_fastq
+    from ..sources.work import new_folder
+
+    path = new_folder(spark, "fastq")
+    write_fastq(B.pairs(spark, d).repartition("pair_id"), path, gzip=True)
+    files = [shard_files(path, r) for r in ("R1", "R2")]
+    return read_fastq(spark, *files, split_bytes=64 << 10).select("identifier", "r1", "r2", "r1_qual", "r2_qual")
+
+
+# every item's bases from item_id % 60 on, with the 6th and the 16th changed, sought in all items
+_CHANGED = "substring(seq, {0}, 5) || translate(substring(seq, {0} + 5, 1), 'ACGT', 'CGTA') || substring(seq, {0} + 6, 9) || translate(substring(seq, {0} + 15, 1), 'ACGT', 'GTAC') || substring(seq, {0} + 16, 8)"
+
+
+@query(B.sql("""SELECT CAST(e AS INTEGER) AS errors, query_id, target_id, CAST(pos AS INTEGER) AS pos, CAST(distance AS INTEGER) AS distance FROM (
+  SELECT e, q.target_id AS query_id, t.target_id, p AS pos, hamming(q.part, substring(t.seq, p + 1, length(q.part))) AS distance
+  FROM prt q, (SELECT target_id, seq, CAST(unnest(range(0, length(seq))) AS INTEGER) AS p FROM tgt) t, (SELECT unnest(range(0, 5)) AS e) WHERE length(q.part) > e AND p + length(q.part) <= length(t.seq)) WHERE distance <= errors""",
+  f"prt AS (SELECT target_id, {_CHANGED.format('CAST(target_id % 60 + 1 AS INTEGER)')} AS part FROM tgt)"))
+def approximate_places(spark, d):
+    from ..operators.edits import places_with_errors
+
+    t = B.targets(spark, d)
+    parts = t.select(F.col("target_id").alias("query_id"), F.expr(_CHANGED.format("(target_id % 60 + 1)")).alias("seq"))
+    out = None
+    for errors in range(5):
+        found = places_with_errors(parts, t, errors).select(F.lit(errors).alias("errors"), "query_id", "target_id", "pos", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # --- target index ---------------------------------------------------------
 
 _KMERS = "km AS (SELECT target_id, CAST(pos AS INTEGER) AS pos, substring(seq, pos + 1, 8) AS word FROM (SELECT target_id, seq, unnest(range(0, length(seq) - 7)) AS pos FROM tgt))"
@@ -197,6 +231,26 @@ def r1_lookup_build(spark, d):
     return r1_table(B.targets(spark, d), LOOKUP, B.LENGTH).select("key", "target_id", "site", "trim")
 
 
+# what follows the handle in R1, by pair_id % 3 as it is, with a base less, or with a base more
+_EDITED = "CASE pair_id % 3 WHEN 0 THEN substring(r1, 5, 32) WHEN 1 THEN substring(r1, 5, k) || substring(r1, k + 6, 32) || 'A' ELSE substring(substring(r1, 5, k) || 'C' || substring(r1, k + 5, 32), 1, 32) END"
+
+
+# the twin lists every variant of every key
+@query(B.sql("""SELECT pair_id, key AS table_key, edit, place FROM (
+  SELECT DISTINCT pair_id, key, 'none' AS edit, NULL::INTEGER AS place FROM ask JOIN (SELECT DISTINCT key FROM r1l) ON seq = key UNION ALL
+  SELECT pair_id, key, CASE min(kind) WHEN 0 THEN 'substitution' WHEN 1 THEN 'insertion' ELSE 'deletion' END, CAST(any_value((SELECT min(i) FROM range(0, 32) t(i) WHERE substring(key, CAST(i AS INTEGER) + 1, 1) <> substring(seq, CAST(i AS INTEGER) + 1, 1))) AS INTEGER)
+  FROM (SELECT * FROM ask WHERE seq NOT IN (SELECT key FROM r1l)) a JOIN var v ON v.shown = a.seq GROUP BY pair_id, key, seq)""",
+  f"""{_TABLE}, ask AS (SELECT pair_id, {_EDITED} AS seq FROM (SELECT *, CAST(pair_id % 20 AS INTEGER) AS k FROM pr)),
+  keys AS (SELECT DISTINCT key, j, b FROM r1l, (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS j), (SELECT unnest(['A', 'C', 'G', 'T', 'N']) AS b)),
+  var AS (SELECT key, 0 AS kind, left(key, j) || b || substring(key, j + 2) AS shown FROM keys UNION ALL SELECT key, 1, left(left(key, j) || b || substring(key, j + 1), 32) FROM keys UNION ALL SELECT key, 2, left(key, j) || substring(key, j + 2) || b FROM keys)"""))
+def one_edit_keys(spark, d):
+    from ..operators.edits import one_edit_hits
+    from ..operators.lookup import r1_table
+
+    reads = B.pairs(spark, d).withColumn("k", (F.col("pair_id") % 20).cast("int")).select("pair_id", F.expr(_EDITED).alias("seq"))
+    return one_edit_hits(reads, r1_table(B.targets(spark, d), LOOKUP, B.LENGTH))
+
+
 _CLASSIFY = f"""{_KMERS}, {_TABLE},
 sm AS (SELECT t.target_id, greatest(10, coalesce(max(n), 10)) + 1 AS r2_len FROM tgt t LEFT JOIN (
   SELECT x.target_id, 8 + (SELECT min(i) FROM range(0, 121) r(i) WHERE i >= least(length(s.seq) - x.pos - 8, length(s.seq) - y.pos - 8) OR substring(s.seq, x.pos + 9 + CAST(i AS INTEGER), 1) <> substring(s.seq, y.pos + 9 + CAST(i AS INTEGER), 1)) AS n
@@ -291,6 +345,20 @@ def prefix_hist(spark, d):
     return C.prefixes(K.classify(B.pairs(spark, d), B.targets(spark, d), RunConfig(count_left_prefixes=True, collapse_left_prefixes=True)))
 
 
+@query(B.sql("""SELECT pair_id, target_id, CAST(made_site AS INTEGER) AS site, CAST(length(seq) AS INTEGER) AS "end", 0 AS r1_indels, CASE WHEN pair_id % 3 < 2 THEN 1 ELSE 0 END AS r2_indels,
+  CASE WHEN pair_id % 3 = 2 THEN '' ELSE (CASE WHEN pair_id % 3 = 1 THEN 'insert' ELSE 'delete' END) END AS kind FROM pr JOIN tgt USING (target_id) WHERE length(seq) - made_site >= 70"""))
+def planted_indels(spark, d):
+    """Sites, ends and indels of pairs of which R2 has a base less or more."""
+    config = RunConfig(count_mutations=True, handle_indels=True, allowed_target_errors=2)
+    kind = F.array_join(F.transform(F.map_values("r2_indels"), lambda x: F.when(x["insert"], "insert").otherwise("delete")), ",")
+    return K.classify(B.indel_pairs(spark, d), B.targets(spark, d), config).select("pair_id", "target_id", "site", "end", F.size(F.map_keys("r1_indels")).alias("r1_indels"), F.size(F.map_keys("r2_indels")).alias("r2_indels"), kind.alias("kind"))
+
+
+@query(B.sql("""SELECT CASE pair_id % 2 WHEN 0 THEN 'RRRY' ELSE 'YYYR' END AS mask, CASE pair_id % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'G' ELSE 'CA' END AS prefix, count(*) AS cnt FROM pr GROUP BY ALL"""))
+def planted_prefixes(spark, d):
+    return C.prefixes(K.classify(B.prefixed_pairs(spark, d), B.targets(spark, d), RunConfig(count_left_prefixes=True, collapse_left_prefixes=True)), mapped=True).select("mask", "prefix", "cnt")
+
+
 @query(B.sql("SELECT CAST(c IS NOT NULL AS INTEGER) AS mutations, count(*) AS cnt FROM kept GROUP BY 1", _MADE))
 def mut_hist(spark, d):
     return C.mutation_histogram(K.classify(B.pairs(spark, d), B.targets(spark, d), RunConfig(count_mutations=True)))
@@ -317,6 +385,30 @@ def sam_rows(spark, d):
     return sam_records(K.classify(p, t, RunConfig()), p, t)
 
 
+@query(B.sql("""SELECT identifier AS qname, 'T' || (target_id - 1) AS target, CAST(site AS INTEGER) AS site, CAST("end" AS INTEGER) AS "end" FROM sam WHERE ok""", f"{_MADE}, {_SAM}"))
+def sam_round_trip(spark, d):
+    """Mapped pairs as they are read back from written SAM shards."""
+    from ..sinks.exports import write_sam
+    from ..sinks.shards import shard_files
+    from ..sources.reads import read_sam, sam_pairs
+    from ..sources.work import new_folder
+
+    p, t, path = B.pairs(spark, d), B.targets(spark, d), new_folder(spark, "sam")
+    write_sam(K.classify(p, t, RunConfig()), p, t, path)
+    return sam_pairs(read_sam(spark, shard_files(path, "sam")), t)
+
+
+# places and regions of millions of bases
+@query(B.sql("""SELECT pair_id FROM (SELECT DISTINCT n, pair_id FROM (SELECT n, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pair_id, unnest([CAST(l_partkey * 997 % 3000017 AS INTEGER), CAST(l_suppkey * 7919 % 3000017 AS INTEGER)]) AS place FROM (SELECT *, row_number() OVER () AS n FROM lineitem))
+  JOIN (SELECT CAST(o_orderkey * 31 % 3000017 AS INTEGER) AS "start", CAST(o_orderkey * 31 % 3000017 + o_custkey % 40 AS INTEGER) AS stop FROM orders) r ON place BETWEEN r."start" AND r.stop)"""))
+def region_results(spark, d):
+    li, o = B.load(spark, d, "lineitem"), B.load(spark, d, "orders")
+    place = lambda c, k: (F.col(c) * k % 3000017).cast("int")
+    results = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("pair_id"), place("l_partkey", 997).alias("site"), F.array(place("l_suppkey", 7919)).alias("mutations"))
+    regions = o.select(place("o_orderkey", 31).alias("start"), (place("o_orderkey", 31) + F.col("o_custkey") % 40).cast("int").alias("stop"))
+    return Q.by_region(results, regions).select("pair_id")
+
+
 # --- counters and profiles ------------------------------------------------
 
 _SPINE = """ends AS (SELECT DISTINCT target_id, "end" FROM reg UNION SELECT unnest([1, 2, 3]), 24),

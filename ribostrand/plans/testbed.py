@@ -43,6 +43,28 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What is in the middle of a read with an indel, by pair_id % 3: a base less, a base more, nothing.
+INDEL_AT = 18
+
+
+def indel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, r1, r2: fragments of at least 70 bases, of which R2 shows one with a base less or more after INDEL_AT bases; R1 does not reach that far."""
+    e = pairs(spark, sf_dir).select("pair_id", "target_id", "made_site").join(targets(spark, sf_dir).select("target_id", "seq"), "target_id")
+    e = e.withColumn("frag", F.substring("seq", F.col("made_site") + 1, F.length("seq"))).where(F.length("frag") >= 70)
+    kind, at = F.col("pair_id") % 3, INDEL_AT
+    other = F.translate(F.substring("frag", at + 1, 1), "ACGT", "CGTA")
+    shown = F.when(kind == 0, F.concat(F.substring("frag", 1, at), F.substring("frag", at + 2, LENGTH))).when(kind == 1, F.concat(F.substring("frag", 1, at), other, F.substring("frag", at + 1, LENGTH))).otherwise(F.col("frag"))
+    return e.select("pair_id", F.substring(F.concat(F.lit("AAAT"), S.reverse_complement("frag")), 1, LENGTH).alias("r1"), F.substring(shown, 1, LENGTH).alias("r2"))
+
+
+def prefixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, r1, r2 of whole targets before which R2 shows nothing, one or two bases, by pair_id % 3."""
+    e = pairs(spark, sf_dir).select("pair_id", "target_id").join(targets(spark, sf_dir).select("target_id", "seq"), "target_id")
+    handle = F.when(F.col("pair_id") % 2 == 0, "AAAT").otherwise("CCCG")
+    prefix = F.when(F.col("pair_id") % 3 == 0, "").when(F.col("pair_id") % 3 == 1, "G").otherwise("CA")
+    return e.select("pair_id", F.substring(F.concat(handle, S.reverse_complement("seq")), 1, LENGTH).alias("r1"), F.substring(F.concat(prefix, "seq"), 1, LENGTH).alias("r2"))
+
+
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered stops and mutations of three targets with ends from 20 to 24."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions import sequences as S
 from ..operators import counters as C
+from .shards import shard_files, write_shards
 
 
 def sam_records(results: DataFrame, pairs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -31,11 +32,13 @@ def sam_records(results: DataFrame, pairs: DataFrame, targets: DataFrame) -> Dat
     return rows.select("pair_id", F.posexplode(both).alias("mate", "line"))
 
 
-def write_sam(results: DataFrame, pairs: DataFrame, targets: DataFrame, path: str) -> None:
-    """Text files: a header file's lines come first by name, then the pairs in order of id."""
-    head = ["@HD\tVN:1.0\tSO:unsorted", *[f"@SQ\tSN:{r['name']}\tLN:{len(r['seq'])}" for r in targets.orderBy("target_id").select("name", "seq").toLocalIterator()], "@PG\tID:ribostrand"]
+def write_sam(results: DataFrame, pairs: DataFrame, targets: DataFrame, path: str, gzip: bool = False) -> list[dict]:
+    """Shards in the order of ids, the header before the first line of the first one; returns the manifest."""
+    named = targets.orderBy("target_id").select(F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.length("seq").cast("string")).alias("line"))
+    head = ["@HD\tVN:1.0\tSO:unsorted", *(r["line"] for r in named.toLocalIterator()), "@PG\tID:ribostrand"]
     header = results.sparkSession.createDataFrame([(-1 - len(head) + i, 0, x) for i, x in enumerate(head)], "pair_id long, mate int, line string")
-    header.unionByName(sam_records(results, pairs, targets)).repartitionByRange("pair_id").sortWithinPartitions("pair_id", "mate").select("line").write.mode("overwrite").text(path)
+    lines = header.unionByName(sam_records(results, pairs, targets)).repartitionByRange("pair_id").sortWithinPartitions("pair_id", "mate")
+    return write_shards(lines, path, {"sam": F.col("line")}, suffix="sam", gzip=gzip)
 
 
 def fastq_lines(identifier: Column, seq: Column, qual: Column) -> Column:
@@ -53,15 +56,27 @@ def channel_fastq(pairs: DataFrame, config: RunConfig = RunConfig(), strip: bool
     return rows.select("pair_id", "mask", F.explode(F.array(F.struct(F.lit("R1").alias("read"), first.alias("record")), F.struct(F.lit("R2").alias("read"), fastq_lines(F.col("identifier"), F.col("r2"), qual[1]).alias("record")))).alias("x")).select("pair_id", "mask", "x.read", "x.record")
 
 
-def write_channels(pairs: DataFrame, path: str, config: RunConfig = RunConfig(), strip: bool = True, only: DataFrame | None = None, compress: bool = False) -> None:
-    """A folder for each mask and read; both reads of a pair are in the same order."""
-    rows = channel_fastq(pairs, config, strip, only).repartitionByRange("mask", "read", "pair_id").sortWithinPartitions("mask", "read", "pair_id")
-    rows.select("mask", "read", F.col("record").alias("value")).write.mode("overwrite").option("compression", "gzip" if compress else "none").partitionBy("mask", "read").text(path)
+def write_fastq(pairs: DataFrame, path: str, group: Column | None = None, gzip: bool = False, mode: str = "overwrite") -> list[dict]:
+    """Shards of pairs, by group: R1 and R2 in files of their own, in step; returns the manifest."""
+    qual = [F.col(q) if q in pairs.columns else F.lit(None).cast("string") for q in ("r1_qual", "r2_qual")]
+    streams = {"R1": fastq_lines(F.col("identifier"), F.col("r1"), qual[0]), "R2": fastq_lines(F.col("identifier"), F.col("r2"), qual[1])}
+    return write_shards(pairs, path, streams, group, "fastq", gzip, mode)
+
+
+def write_channels(pairs: DataFrame, path: str, config: RunConfig = RunConfig(), strip: bool = True, only: DataFrame | None = None, compress: bool = False) -> list[dict]:
+    """Shards of the pairs of each mask, in the order of ids; the handle is cut from R1 with strip."""
+    rows = pairs.withColumn("mask", S.handle("r1", config.masks)).where("mask is not null")
+    if only is not None:
+        rows = rows.join(C.matched(only).select("pair_id"), "pair_id", "left_semi")
+    if strip:
+        n = F.length("mask")
+        rows = rows.withColumns({c: F.substring(c, n + 1, F.length(c)) for c in ("r1", "r1_qual") if c in rows.columns})
+    return write_fastq(rows.repartitionByRange("pair_id").sortWithinPartitions("pair_id"), path, F.col("mask"), compress)
 
 
 def input_sheet(spark, masks: tuple[str, ...], folder: str) -> DataFrame:
-    """The sheet that says which files hold which channel."""
-    rows = [(f"{'treated' if i == 0 else 'untreated'}", f"{folder}/mask={m}/read=R1", f"{folder}/mask={m}/read=R2") for i, m in enumerate(masks)]
+    """The sheet that says which files hold which channel: comma-separated, R1's and R2's in the same order."""
+    rows = [("treated" if i == 0 else "untreated", *(",".join(shard_files(folder, r, m)) for r in ("R1", "R2"))) for i, m in enumerate(masks)]
     return spark.createDataFrame(rows, "channel string, r1 string, r2 string")
 
 
@@ -84,7 +99,8 @@ def reactivities(profile: DataFrame) -> DataFrame:
 
 
 def write_reactivities(profile: DataFrame, path: str) -> None:
-    reactivities(profile).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    """Tab-separated files in order, each with the header."""
+    reactivities(profile).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def run_columns(config: RunConfig) -> list[tuple[str, str]]:

@@ -1,7 +1,9 @@
 """Runs that were stored in a SQLite file: their tables, and what they mean here.
 
 ``SqliteTable`` (format ``sqlite_table``) reads one table by ranges of its row
-numbers, a task each. The file must be on a disk that all executors see.
+numbers, a task each. Filters that compare a column with values are run by
+SQLite: the ranges shrink to the rows that can pass, and only rows that pass
+leave it. The file must be on a disk that all executors see.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 
 ROWS = 1_000_000
 BATCH = 10_000
@@ -34,6 +36,35 @@ def opened(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
 
 
+COMPARED = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+#: In a list of more values than this SQLite has no parameters.
+MOST_VALUES = 500
+
+
+def as_sql(f: Filter, columns: dict[str, str]) -> tuple[str, list] | None:
+    """SQL and parameters of a filter on columns (SQLite's name by ours), if SQLite means the same by it."""
+    if isinstance(f, Not):
+        inner = as_sql(f.child, columns)
+        return inner and (f"NOT ({inner[0]})", inner[1])
+    name = columns.get(f.attribute[0]) if len(f.attribute) == 1 else None
+    if name is None:
+        return None
+    if type(f) in COMPARED and isinstance(f.value, int | str) and not isinstance(f.value, bool):
+        return f"{name} {COMPARED[type(f)]} ?", [f.value]
+    if isinstance(f, In) and len(f.value) <= MOST_VALUES and all(isinstance(v, int | str) for v in f.value):
+        return f"{name} IN ({', '.join('?' * len(f.value))})", [*f.value]
+    if isinstance(f, IsNull | IsNotNull):
+        return f"{name} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL", []
+    # instr and substr compare as Spark does; LIKE would not care for case
+    if isinstance(f, StringContains):
+        return f"instr({name}, ?) > 0", [f.value]
+    if isinstance(f, StringStartsWith):
+        return f"substr({name}, 1, ?) = ?", [len(f.value), f.value]
+    if isinstance(f, StringEndsWith) and f.value:
+        return f"substr({name}, -?) = ?", [len(f.value), f.value]
+    return None
+
+
 class RowRange(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -42,11 +73,23 @@ class RowRange(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.rows = options["path"], options["table"], int(options.get("rows", ROWS))
+        self.where, self.values = "1", []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what SQLite can run; yields the rest to Spark."""
+        names = ["row_id", *(c.rsplit(" ", 1)[0] for c in TABLES[self.table].split(", "))]
+        columns = {n: "rowid" if n == "row_id" else f'"{n}"' for n in names}
+        for f in filters:
+            made = as_sql(f, columns)
+            if made is None:
+                yield f
+            else:
+                self.where, self.values = f"{self.where} AND {made[0]}", [*self.values, *made[1]]
 
     def partitions(self) -> list[RowRange]:
         with opened(self.path) as db:
             there = db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (self.table,)).fetchone()
-            first, last = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone() if there else (None, None)
+            first, last = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}" WHERE {self.where}', self.values).fetchone() if there else (None, None)
         return [] if first is None else [RowRange(k, k + self.rows - 1) for k in range(first, last + 1, self.rows)]
 
     def read(self, part: RowRange | None) -> Iterator[pa.RecordBatch]:
@@ -56,7 +99,7 @@ class SqliteReader(DataSourceReader):
         types = [pa.int64(), *(pa.string() if t == "string" else pa.int64() for _, t in columns)]
         names = ", ".join(f'"{n}"' for n, _ in columns)
         with opened(self.path) as db:
-            rows = db.execute(f'SELECT rowid, {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', (part.first, part.last))
+            rows = db.execute(f'SELECT rowid, {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ? AND {self.where}', (part.first, part.last, *self.values))
             while some := rows.fetchmany(BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=["row_id", *(n for n, _ in columns)])
 
@@ -76,7 +119,8 @@ class SqliteTable(DataSource):
 
 
 def read_table(spark: SparkSession, path: str, table: str, rows: int = ROWS) -> DataFrame:
-    """row_id and the columns of one stored table."""
+    """row_id and the columns of one stored table; filters go to SQLite."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
     spark.dataSource.register(SqliteTable)
     return spark.read.format("sqlite_table").options(path=path, table=table, rows=str(rows)).load()
 
