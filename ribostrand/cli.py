@@ -7,6 +7,7 @@ import json
 import os
 import shutil
 import sys
+import time
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import RunConfig, read_config
 from .operators import classify as K
 from .operators import tags as T
-from .plans.runs import PLOTS, Run, plot_data, traces_to_json
+from .plans.runs import PLOTS, Run, log_line, plot_data, run_log, traces_to_json
 from .sinks import exports as X
 from .sources import reads as S
 
@@ -66,7 +67,7 @@ def _csv(df: DataFrame, path: str) -> None:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "export_channels", "show", "extract_case", "add_case", "show_test_case", "matrix", "doc")
+    commands = ("init", "run", "reads", "rerun", "validate", "compare", "dump", "plot", "pre", "handle_filter", "export_channels", "show", "extract_case", "add_case", "show_test_case", "matrix", "log", "doc")
     parser = argparse.ArgumentParser(prog="ribostrand", description=__doc__)
     parser.add_argument("command", choices=commands)
     parser.add_argument("config", nargs="?", default="run.config")
@@ -93,6 +94,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     config, inputs, pairs, targets = _inputs(spark, a.config)
     out = a.out or inputs["output"]
+    if a.command == "log":
+        run_log(spark, out).show(1000, False)
+        return 0
+    began = time.time()
+    code = _on_run(a, spark, config, pairs, targets, out)
+    if a.command in ("reads", "rerun", "validate", "dump", "matrix", "plot"):
+        log_line(spark, out, a.command, round(time.time() - began, 3), {"kind": a.kind})
+    return code
+
+
+def _on_run(a: argparse.Namespace, spark: SparkSession, config: RunConfig, pairs: DataFrame, targets: DataFrame, out: str) -> int:
+    """The commands that need a run's inputs."""
     if a.command == "run":
         run = Run.process(pairs, targets, config)
         run.store(out)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..config import RunConfig
+
 KEYS = ("target_id", "mask", "end")
 
 
@@ -89,6 +93,50 @@ def named(results: DataFrame) -> DataFrame:
     return own.unionByName(total.unionByName(more).groupBy("name").agg(F.sum("multiplicity").alias("cnt"))).where("cnt > 0")
 
 
+def counter_names(config: RunConfig) -> list[str]:
+    """Names that ``named`` can give under these options, all but those that hold a prefix or a length of indels."""
+    errors = range(2 * (config.allowed_target_errors + 1) + 1)
+    return [
+        "indeterminate", "mask_failure", "dumbbell_failures", "adapter_trimmed", "multiple_R1_match", "dna_residual_pairs", "unmatched", "adapter_trim_failure", "left_of_target", "low_quality_prefixes",
+        "left_of_zero", "match_errors", "r1_not_on_right_edge", "r1_r2_overlap", "mismatching_indel_pairs", "no_rt_primer", "interesting_pairs", "low_quality_muts",
+        *(f"{m}_total" for m in config.masks), *(f"rt_primer_{p}" for p in config.rt_primers), *(f"{x}mut_count_{k}" for x in ("", "mapped_") for k in errors),
+    ]
+
+
+def write_counted(results: DataFrame, path: str, config: RunConfig) -> dict[str, int]:
+    """Writes results as Parquet and returns what ``named`` would say of them, counted on the pass that writes.
+
+    The counters are observed metrics: sums of the rows that go by. Those whose
+    names are not known beforehand (prefixes, lengths of indels) are told to be
+    there by one more metric, and only then counted in what was written.
+    """
+    config = config.resolve()
+    counts = F.coalesce("counters", F.create_map().cast("map<string, bigint>"))
+    known, n = counter_names(config), F.col("multiplicity")
+    fits = F.col("site").isNotNull() & F.col("end").isNotNull() & F.col("failure").isNull()
+    kept = fits & F.coalesce(F.col("edge_mut") != "ignore", F.lit(True))
+    spots = F.map_concat(F.map_filter("r2_indels", lambda k, v: ~F.map_contains_key("r1_indels", k)), "r1_indels")
+    muts = F.size(F.filter("mutations", lambda m: (m != F.col("site") + 1) | (F.coalesce(F.col("edge_mut"), F.lit("")) == "stop_and_mut")))
+    sums = {name: F.coalesce(F.try_element_at(counts, F.lit(name)), F.lit(0)) for name in known}
+    sums |= {
+        "total_pairs": n, "registered_pairs": F.when(kept, n), "edge_indel": F.when(kept & F.col("edge_indel"), n), "ambiguous_indels_pair": F.when(kept & F.col("ambig_indel"), n),
+        "edge_muts": F.when(fits & F.col("edge_mut").isNotNull(), n), "r1_indels": F.when(kept, n * F.size(F.map_keys("r1_indels"))), "r2_indels": F.when(kept, n * F.size(F.map_keys("r2_indels"))),
+        "indels": F.when(kept, n * F.size(F.map_keys(spots))), "mutations": F.when(kept, n * muts),
+    }
+    for m in config.masks:
+        own = kept & (F.col("mask") == m)
+        sums |= {f"{m}_kept": F.when(own, n), f"{m}_mut": F.when(own, n * muts), f"{m}_indels": F.when(own, n * F.size(F.map_keys(spots)))}
+    others = F.size(F.array_except(F.map_keys(counts), F.array(*map(F.lit, known))))
+    seen = Observation(f"counters-{uuid.uuid4().hex}")
+    watched = results.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()], F.coalesce(F.sum(others), F.lit(0)).alias("_others"))
+    watched.write.mode("overwrite").parquet(path)
+    out = dict(seen.get)
+    if out.pop("_others") or out["indels"]:
+        rest = named(results.sparkSession.read.schema(results.schema).parquet(path)).where(~F.col("name").isin(list(sums)))
+        out |= {r["name"]: r["cnt"] for r in rest.collect()}
+    return {name: cnt for name, cnt in out.items() if cnt > 0}
+
+
 def failures(results: DataFrame) -> DataFrame:
     return results.groupBy("failure").agg(F.sum("multiplicity").alias("cnt"))
 

@@ -74,6 +74,18 @@ def ambiguous(table: DataFrame, keys: list[str], place: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.count_distinct(place).alias("places")).where("places > 1")
 
 
+def require_plain_keys(targets: DataFrame, config: RunConfig, pair_length: int) -> None:
+    """An error if R2 cannot tell the places of a target apart: its reads are too short for that, or one key stands for two places."""
+    second = pair_length - HANDLE - (len(config.cotrans_linker) if config.cotrans else 0)
+    table = r2_table(targets, config, second)
+    longest = table.agg(F.max("r2_len")).first()[0] or 0
+    if longest > second:
+        raise ValueError(f"R2 shows {second} bases, but {longest} are needed to tell places of a target apart")
+    some = ambiguous(table, ["target_id", "key2"], "r2_site").limit(3).collect()
+    if some:
+        raise ValueError("the same R2 stands for several places: " + ", ".join(f"{r['key2']} (target {r['target_id']})" for r in some))
+
+
 #: Tables of at most so many rows (short strings and numbers) are broadcast; larger ones are joined by their keys.
 MOST_BROADCAST = 500_000
 

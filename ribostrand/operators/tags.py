@@ -14,16 +14,19 @@ from .index import seed_hits
 # The tags besides those of targets and failures.
 VOCABULARY = ("match", "match_errors", "adapter", "adapter_errors", "linker", "unknown", "indeterminate", "treated", "untreated", "mask_failure", "interesting", "indels", "indels_mismatched")
 
+#: Below the number of any reverse complement.
+FIRST_EXTRA = -(1 << 31)
+
 
 def tag_targets(targets: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
-    """target_id, name, seq of everything that tags name: targets, their reverse complements, adapters, linker, extras."""
+    """target_id, name, seq of everything that tags name: targets, their reverse complements (-target_id), adapters, linker, extras (from FIRST_EXTRA on)."""
     spark = targets.sparkSession
     extras = [("adapter_t", config.adapter_t), ("adapter_b", config.adapter_b), *config.extra_tags]
     if config.cotrans:
         extras.append(("linker_cotrans", config.cotrans_linker))
     extras += [(f"{n}_rc", _rc(s)) for n, s in list(extras)]
-    named = targets.select("target_id", "name", "seq").unionByName(targets.select((F.col("target_id") + 1_000_000).alias("target_id"), F.concat("name", F.lit("_rc")).alias("name"), S.reverse_complement("seq").alias("seq")))
-    return named.unionByName(spark.createDataFrame([(2_000_000 + i, n, s) for i, (n, s) in enumerate(extras)], "target_id int, name string, seq string"))
+    named = targets.select("target_id", "name", "seq").unionByName(targets.select((-F.col("target_id")).alias("target_id"), F.concat("name", F.lit("_rc")).alias("name"), S.reverse_complement("seq").alias("seq")))
+    return named.unionByName(spark.createDataFrame([(FIRST_EXTRA + i, n, s) for i, (n, s) in enumerate(extras)], "target_id int, name string, seq string"))
 
 
 def _rc(s: str) -> str:

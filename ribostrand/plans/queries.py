@@ -221,7 +221,7 @@ def self_match(spark, d):
 
 # --- lookup ---------------------------------------------------------------
 
-_TABLE = f"""r1l AS (SELECT target_id, seq, i, left(left({_rc('seq')}, i) || '{B.ADAPTER_B}', 32) AS key, CASE WHEN i < 32 THEN length(seq) - i END AS site, 32 - i AS trim FROM tgt, (SELECT unnest(range(1, 33)) AS i))"""
+_TABLE = f"""r1l AS MATERIALIZED (SELECT target_id, seq, i, left(left({_rc('seq')}, i) || '{B.ADAPTER_B}', 32) AS key, CASE WHEN i < 32 THEN length(seq) - i END AS site, 32 - i AS trim FROM tgt, (SELECT unnest(range(1, 33)) AS i))"""
 
 
 @query(B.sql("SELECT key, target_id, CAST(site AS INTEGER) AS site, CAST(trim AS INTEGER) AS trim FROM r1l", _TABLE))
@@ -252,11 +252,11 @@ def one_edit_keys(spark, d):
 
 
 _CLASSIFY = f"""{_KMERS}, {_TABLE},
-sm AS (SELECT t.target_id, greatest(10, coalesce(max(n), 10)) + 1 AS r2_len FROM tgt t LEFT JOIN (
+sm AS MATERIALIZED (SELECT t.target_id, greatest(10, coalesce(max(n), 10)) + 1 AS r2_len FROM tgt t LEFT JOIN (
   SELECT x.target_id, 8 + (SELECT min(i) FROM range(0, 121) r(i) WHERE i >= least(length(s.seq) - x.pos - 8, length(s.seq) - y.pos - 8) OR substring(s.seq, x.pos + 9 + CAST(i AS INTEGER), 1) <> substring(s.seq, y.pos + 9 + CAST(i AS INTEGER), 1)) AS n
   FROM km x JOIN km y ON x.word = y.word AND x.target_id = y.target_id AND x.pos <> y.pos JOIN tgt s ON s.target_id = x.target_id) USING (target_id) GROUP BY 1),
-msk AS (SELECT *, CASE WHEN regexp_matches(r1, '^[AG][AG][AG][CT]') THEN 'RRRY' WHEN regexp_matches(r1, '^[CT][CT][CT][AG]') THEN 'YYYR' END AS mask FROM (SELECT pair_id, r1, r2 FROM pr)),
-hit AS (SELECT m.*, l.target_id, l.seq, l.trim, l.i, l.site AS r1_site, r2_len,
+msk AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(r1, '^[AG][AG][AG][CT]') THEN 'RRRY' WHEN regexp_matches(r1, '^[CT][CT][CT][AG]') THEN 'YYYR' END AS mask FROM (SELECT pair_id, r1, r2 FROM pr)),
+hit AS MATERIALIZED (SELECT m.*, l.target_id, l.seq, l.trim, l.i, l.site AS r1_site, r2_len,
   CASE WHEN l.site IS NOT NULL THEN l.site WHEN contains(l.seq, left(r2, CAST(r2_len AS INTEGER))) THEN instr(l.seq, left(r2, CAST(r2_len AS INTEGER))) - 1 END AS s FROM msk m JOIN r1l l ON substring(r1, 5) = l.key JOIN sm USING (target_id) WHERE mask IS NOT NULL),
 prt AS (SELECT *, CAST(s AS INTEGER) AS s0, CAST(least(36, length(seq) - s) AS INTEGER) AS m, {_rc('left(substring(r1, 5), CAST(32 - trim AS INTEGER))')} AS read1 FROM hit),
 jdg AS (SELECT *, CAST(length(seq) - length(read1) AS INTEGER) AS d1,
@@ -267,7 +267,7 @@ jdg AS (SELECT *, CAST(length(seq) - length(read1) AS INTEGER) AS d1,
   count(*) OVER (PARTITION BY pair_id, trim) AS same FROM prt),
 ovl AS (SELECT *, CASE WHEN max(same) OVER (PARTITION BY pair_id) > 1 THEN 'multiple R1 match' WHEN f0 IS NOT NULL THEN f0
   WHEN s0 + m > greatest(d1, s0) AND substring(read1, greatest(d1, s0) - d1 + 1, s0 + m - greatest(d1, s0)) <> substring(r2, greatest(d1, s0) - s0 + 1, s0 + m - greatest(d1, s0)) THEN 'R1/R2 disagree on overlap' END AS failure FROM jdg),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY (failure IS NULL) DESC, CASE WHEN failure IS NULL THEN target_id END, CASE WHEN failure IS NULL THEN i END, target_id DESC, i DESC) AS rn FROM ovl) WHERE rn = 1),
+one AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY (failure IS NULL) DESC, CASE WHEN failure IS NULL THEN target_id END, CASE WHEN failure IS NULL THEN i END, target_id DESC, i DESC) AS rn FROM ovl) WHERE rn = 1),
 cls AS (SELECT m.pair_id, m.mask, CASE WHEN o.failure IS NULL THEN o.target_id END AS target_id, CASE WHEN o.failure IS NULL THEN o.s0 END AS site, CASE WHEN o.failure IS NULL THEN CAST(length(o.seq) AS INTEGER) END AS "end",
   CASE WHEN m.mask IS NULL THEN 'mask failure' WHEN o.pair_id IS NULL THEN 'no match' ELSE o.failure END AS failure FROM msk m LEFT JOIN one o USING (pair_id))"""
 
@@ -340,6 +340,25 @@ def tag_reads(spark, d):
     return assign(K.classify(p, t, RunConfig(allow_indeterminate=True, allowed_target_errors=2, allowed_adapter_errors=2)), p, t).select("pair_id", F.array_join("tags", ",").alias("tags"))
 
 
+# without mutations a pair matches if none of its bases was changed; what the others show is found by words of 8 bases
+_TAGGED = f"""tgn AS (SELECT 'T' || (target_id - 1) AS name, seq FROM tgt UNION ALL SELECT 'T' || (target_id - 1) || '_rc', {_rc('seq')} FROM tgt UNION ALL SELECT * FROM (VALUES
+    ('adapter_t', '{B.ADAPTER_T}'), ('adapter_b', '{B.ADAPTER_B}'), ('adapter_t_rc', {_rc("'" + B.ADAPTER_T + "'")}), ('adapter_b_rc', {_rc("'" + B.ADAPTER_B + "'")})) v(name, seq)),
+tgw AS (SELECT DISTINCT name, substring(seq, pos + 1, 8) AS word FROM (SELECT name, seq, unnest(range(0, length(seq) - 7)) AS pos FROM tgn)),
+off AS (SELECT m.pair_id, m.mask, p.r1, p.r2, contains(p.r1 || p.r2, 'N') AS unclear, CASE WHEN m.failure LIKE 'R1/R2%' OR m.failure IS NULL THEN 'match errors failure' ELSE m.failure END AS failure,
+    CASE WHEN regexp_matches(p.r1, '^[AG][AG][AG][CT]') THEN 'RRRY' WHEN regexp_matches(p.r1, '^[CT][CT][CT][AG]') THEN 'YYYR' END AS handle FROM mde m JOIN pr p USING (pair_id) WHERE m.failure IS NOT NULL OR m.c IS NOT NULL),
+fnd AS (SELECT pair_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT pair_id, substring(s, i + 1, 8) AS word FROM (SELECT pair_id, s, unnest(range(0, length(s) - 7)) AS i FROM (SELECT pair_id, unnest([r1, r2]) AS s FROM off))) JOIN tgw USING (word) GROUP BY pair_id)"""
+
+
+@query(B.sql("""SELECT pair_id, concat_ws(',', 'match', 'T' || (target_id - 1), CASE WHEN frag < 32 THEN 'adapter' END, CASE mask WHEN 'RRRY' THEN 'treated' ELSE 'untreated' END) AS tags FROM mde WHERE failure IS NULL AND c IS NULL
+  UNION ALL SELECT pair_id, concat_ws(',', CASE WHEN names IS NULL THEN 'unknown' END, failure, CASE WHEN unclear THEN 'indeterminate' END, CASE WHEN mask IS NULL THEN 'mask_failure' WHEN mask = 'RRRY' THEN 'treated' ELSE 'untreated' END, names) FROM off LEFT JOIN fnd USING (pair_id)""", f"{_MADE}, {_TAGGED}"))
+def tag_pairs(spark, d):
+    """Tags of matched and unmatched pairs under the plain options."""
+    from ..operators.tags import assign
+
+    p, t = B.pairs(spark, d), B.targets(spark, d)
+    return assign(K.classify(p, t, RunConfig()), p, t).select("pair_id", F.array_join("tags", ",").alias("tags"))
+
+
 @query(B.sql("SELECT mask, 'NONE' AS prefix, count(*) AS cnt, CAST(1 AS DOUBLE) AS share FROM mde WHERE mask IS NOT NULL GROUP BY mask", _MADE))
 def prefix_hist(spark, d):
     return C.prefixes(K.classify(B.pairs(spark, d), B.targets(spark, d), RunConfig(count_left_prefixes=True, collapse_left_prefixes=True)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from ..operators import counters as C
 from ..operators import profiles as R
 from ..operators import results as Q
 from ..operators.index import merge_targets
+from ..operators.lookup import require_plain_keys
 from ..sinks import exports as X
 
 
@@ -29,6 +32,8 @@ class Run:
     def process(cls, pairs: DataFrame, targets: DataFrame, config: RunConfig) -> Run:
         config = config.resolve()
         pairs = pairs.limit(config.run_limit) if config.run_limit else pairs
+        if config.algorithm == "lookup" and config.pair_length:
+            require_plain_keys(targets, config, config.pair_length)
         if "forced_mask" in pairs.columns:
             # pairs without a known mask are read by their handles
             results = K.classify(pairs.where(~F.coalesce(F.col("forced_mask").isin(*config.masks), F.lit(False))), targets, config)
@@ -42,13 +47,21 @@ class Run:
         return R.with_nucleotides(R.compute(self.registered, self.targets, self.config), self.targets)
 
     def store(self, path: str) -> None:
-        """Parquet folders targets, registered, results, config."""
-        spark = self.targets.sparkSession
+        """Parquet folders targets, results, registered, counters, config, and a line of the run log.
+
+        Pairs are classified once: the pass that writes results counts them,
+        and stops and mutations are registered from what was written.
+        """
+        spark, began = self.targets.sparkSession, time.time()
         self.targets.write.mode("overwrite").parquet(f"{path}/targets")
-        self.registered.write.mode("overwrite").parquet(f"{path}/registered")
+        registered, counts = self.registered, {}
         if self.results is not None:
-            self.results.write.mode("overwrite").parquet(f"{path}/results")
+            counts = C.write_counted(self.results, f"{path}/results", self.config)
+            registered = C.registered(spark.read.schema(self.results.schema).parquet(f"{path}/results"))
+        registered.write.mode("overwrite").parquet(f"{path}/registered")
+        spark.createDataFrame(sorted(counts.items()), "name string, cnt long").coalesce(1).write.mode("overwrite").parquet(f"{path}/counters")
         spark.createDataFrame(list(self.config.to_map().items()), "param_key string, param_val string").coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
+        log_line(spark, path, "store", round(time.time() - began, 3), {k: counts[k] for k in ("total_pairs", "registered_pairs") if k in counts})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, results: bool = True) -> Run:
@@ -86,6 +99,17 @@ class Run:
         return kinds[kind](self.results)
 
 
+def log_line(spark: SparkSession, path: str, command: str, seconds: float, facts: dict | None = None) -> None:
+    """Adds a line to the log of a stored run: what was done, when, how long it took, and numbers."""
+    row = (datetime.now(UTC).isoformat(timespec="seconds"), command, float(seconds), {k: str(v) for k, v in (facts or {}).items()})
+    spark.createDataFrame([row], "at string, command string, seconds double, facts map<string, string>").coalesce(1).write.mode("append").json(f"{path}/log")
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """at, command, seconds, facts of everything that was done to a stored run, oldest first."""
+    return spark.read.schema("at string, command string, seconds double, facts map<string, string>").json(f"{path}/log").orderBy("at")
+
+
 def run_files(spark: SparkSession, targets: str, r1: str, r2: str, output: str, config: RunConfig = RunConfig()) -> Run:
     """FASTA and FASTQ in, reactivities out."""
     from ..sources.reads import read_fasta, read_fastq

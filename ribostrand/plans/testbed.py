@@ -99,11 +99,11 @@ def result_set(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
 
 _RC = "reverse(translate({0}, 'ATCGatcg', 'TAGCtagc'))"
 SQL = f"""
-tgt AS (SELECT CAST(item_id + 1 AS INTEGER) AS target_id, 'T' || item_id AS name, left(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 120) AS seq FROM benchmark),
+tgt AS MATERIALIZED (SELECT CAST(item_id + 1 AS INTEGER) AS target_id, 'T' || item_id AS name, left(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 120) AS seq FROM benchmark),
 pr0 AS (SELECT event_id, t.target_id, CAST(event_id % 60 AS INTEGER) AS made_site, substring(seq, CAST(event_id % 60 AS INTEGER) + 1) AS frag, CASE event_id % 3 WHEN 0 THEN 'AAAT' WHEN 1 THEN 'CCCG' ELSE 'ACGT' END AS handle
   FROM events e JOIN tgt t ON t.target_id = e.user_id % (SELECT count(*) FROM benchmark) + 1),
 pr1 AS (SELECT *, left(handle || {_RC.format('frag')} || '{ADAPTER_B}', {LENGTH}) AS x1, left(frag || {_RC.format('handle')} || {_RC.format("'" + ADAPTER_T + "'")}, {LENGTH}) AS x2, CAST(event_id % 20 AS INTEGER) AS k FROM pr0),
-pr AS (SELECT event_id AS pair_id, 'p' || event_id AS identifier, CASE WHEN event_id % 11 = 0 THEN left(x1, 9) || 'N' || substring(x1, 11) ELSE x1 END AS r1,
+pr AS MATERIALIZED (SELECT event_id AS pair_id, 'p' || event_id AS identifier, CASE WHEN event_id % 11 = 0 THEN left(x1, 9) || 'N' || substring(x1, 11) ELSE x1 END AS r1,
   CASE WHEN event_id % 7 = 0 THEN left(x2, k) || translate(substring(x2, k + 1, 1), 'ACGT', 'CGTA') || substring(x2, k + 2) ELSE x2 END AS r2, target_id, made_site FROM pr1),
 st0 AS (SELECT event_id, CAST(user_id % 3 + 1 AS INTEGER) AS target_id, CASE WHEN event_id % 2 = 0 THEN 'RRRY' ELSE 'YYYR' END AS mask, CAST(20 + user_id % 5 AS INTEGER) AS "end", CAST(event_id % (21 + user_id % 5) AS INTEGER) AS pos FROM events),
 reg AS (SELECT target_id, mask, kind, pos, "end", count(*) AS cnt FROM (
