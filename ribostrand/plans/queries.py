@@ -212,6 +212,21 @@ def find_partial_matches(spark, d):
     return I.find_partial(_queries(spark, d), B.targets(spark, d))
 
 
+@query(B.sql("""SELECT query_id, CAST(t AS INTEGER) AS target_id, CAST(p AS INTEGER) AS pos FROM (SELECT query_id, min(target_id * 1000 + pos) AS at, min(target_id * 1000 + pos) // 1000 AS t, min(target_id * 1000 + pos) % 1000 AS p
+  FROM (SELECT pair_id AS query_id, left(r2, 24) AS q FROM pr) JOIN km ON word = left(q, 8) JOIN tgt USING (target_id) WHERE substring(seq, pos + 1, 24) = q GROUP BY query_id)""", _KMERS))
+def find_exact(spark, d):
+    """The first place of the first 24 bases of each R2."""
+    return I.find_exact(_queries(spark, d).withColumn("seq", F.left("seq", F.lit(24))), B.targets(spark, d))
+
+
+@query(B.sql("""SELECT query_id, CAST(max(length) AS INTEGER) AS length, CAST(count(DISTINCT target_id) FILTER (WHERE length = most) AS INTEGER) AS n_targets FROM (SELECT *, max(length) OVER (PARTITION BY query_id) AS most FROM (
+  SELECT query_id, target_id, 8 + coalesce((SELECT min(i) FROM range(0, 36) t(i) WHERE i >= least(28, length(seq) - pos - 8) OR substring(q, 9 + CAST(i AS INTEGER), 1) <> substring(seq, pos + 9 + CAST(i AS INTEGER), 1)), 0) AS length
+  FROM (SELECT pair_id AS query_id, r2 AS q FROM pr) JOIN km ON word = left(q, 8) JOIN tgt USING (target_id)) WHERE length >= 10) GROUP BY query_id""", _KMERS))
+def find_prefix(spark, d):
+    """Matches seeded at the first word of R2 only."""
+    return I.find_prefix(_queries(spark, d), B.targets(spark, d)).select("query_id", "length", "n_targets")
+
+
 @query(B.sql("""SELECT t.target_id, CAST(greatest(8, coalesce(max(n), 8)) AS INTEGER) AS length FROM tgt t LEFT JOIN (
   SELECT x.target_id, 8 + (SELECT min(i) FROM range(0, 121) r(i) WHERE i >= least(length(s.seq) - x.pos - 8, length(o.seq) - y.pos - 8) OR substring(s.seq, x.pos + 9 + CAST(i AS INTEGER), 1) <> substring(o.seq, y.pos + 9 + CAST(i AS INTEGER), 1)) AS n
   FROM km x JOIN km y ON x.word = y.word AND (x.target_id <> y.target_id OR x.pos <> y.pos) JOIN tgt s ON s.target_id = x.target_id JOIN tgt o ON o.target_id = y.target_id) USING (target_id) GROUP BY 1""", _KMERS))
@@ -417,6 +432,45 @@ def sam_round_trip(spark, d):
     return sam_pairs(read_sam(spark, shard_files(path, "sam")), t)
 
 
+@query(B.sql("""SELECT pair_id, CAST(site AS INTEGER) AS site, CASE WHEN c IS NOT NULL AND pair_id % 2 = 1 THEN CAST(c + 1 AS VARCHAR) ELSE '' END AS mutations, CASE WHEN c IS NOT NULL AND pair_id % 2 = 0 THEN CAST(c + 1 AS VARCHAR) ELSE '' END AS removed FROM good""", _MADE))
+def planted_qualities(spark, d):
+    """Mutations that stay and go by the quality of their base, of pairs that match."""
+    config = RunConfig(count_mutations=True, mutations_require_quality_score=30)
+    done = C.matched(K.classify(B.graded_pairs(spark, d), B.targets(spark, d), config))
+    return done.select("pair_id", "site", F.array_join("mutations", ",").alias("mutations"), F.array_join("removed_mutations", ",").alias("removed"))
+
+
+# R1 shows the last 12 bases of a transcript; where another target has them, too, it names no target
+@query(B.sql("""SELECT pair_id, CASE WHEN n = 1 THEN target_id END AS target_id, CASE WHEN n = 1 THEN CAST(s AS INTEGER) END AS site, CASE WHEN n = 1 THEN CAST(e AS INTEGER) END AS "end", CASE WHEN n > 1 THEN 'multiple R1 match' END AS failure
+  FROM cut JOIN (SELECT part, count(*) AS n FROM (SELECT DISTINCT part FROM cut) JOIN tgt ON contains(seq, part) GROUP BY part) USING (part)""",
+  "trs AS (SELECT pair_id, target_id, seq, pair_id % 20 AS s, least(40 + pair_id % 60, length(seq)) AS e FROM pr JOIN tgt USING (target_id)), cut AS (SELECT *, substring(seq, CAST(e - 11 AS INTEGER), 12) AS part FROM trs)"))
+def planted_transcripts(spark, d):
+    return K.classify(B.transcripts(spark, d), B.targets(spark, d), RunConfig(cotrans=True)).select("pair_id", "target_id", "site", "end", "failure")
+
+
+@query(SQL["named_counters"])
+def observed_counters(spark, d):
+    """The named counters as the pass that writes the results observes them."""
+    from ..sources.work import new_folder
+
+    config = RunConfig(count_mutations=True)
+    counts = C.write_counted(K.classify(B.pairs(spark, d), B.targets(spark, d), config), new_folder(spark, "results"), config)
+    return spark.createDataFrame(sorted(counts.items()), "name string, cnt long")
+
+
+@query(SQL["unique_pairs"])
+def kept_unique_pairs(spark, d):
+    """Unique pairs of three batches, merged from what each added."""
+    from ..operators.kept import Kept
+    from ..sources.work import new_folder
+
+    folder = new_folder(spark, "kept")
+    kept = Kept(spark, folder, "kept_" + folder[-32:], 8)
+    for k in range(3):
+        kept.add_pairs(B.pairs(spark, d).where(F.col("pair_id") % 3 == k), f"batch-{k}")
+    return kept.unique_pairs().select("pair_id", "r1", "r2", "multiplicity")
+
+
 # places and regions of millions of bases
 @query(B.sql("""SELECT pair_id FROM (SELECT DISTINCT n, pair_id FROM (SELECT n, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pair_id, unnest([CAST(l_partkey * 997 % 3000017 AS INTEGER), CAST(l_suppkey * 7919 % 3000017 AS INTEGER)]) AS place FROM (SELECT *, row_number() OVER () AS n FROM lineitem))
   JOIN (SELECT CAST(o_orderkey * 31 % 3000017 AS INTEGER) AS "start", CAST(o_orderkey * 31 % 3000017 + o_custkey % 40 AS INTEGER) AS stop FROM orders) r ON place BETWEEN r."start" AND r.stop)"""))
@@ -513,6 +567,21 @@ def column_slice(spark, d):
     return R.column(R.compute(*_stops(spark, d), PLAIN), 5).select("target_id", "site", F.col("S_t").alias("treated"), F.col("S_u").alias("untreated"))
 
 
+@query(B.sql('SELECT target_id, site, round(nt_ / sum(nt_) OVER (PARTITION BY target_id), 9) AS share, (SELECT CAST(min(nt_) AS BIGINT) FROM whl) AS least, (SELECT CAST(max(nt_) AS BIGINT) FROM whl) AS most FROM whl', f"{_SPINE}, {_SIDES}"))
+def profile_shares(spark, d):
+    """Each site's share of its profile, beside the least and the greatest count of all."""
+    profile = R.compute(*_stops(spark, d), PLAIN)
+    shares = _rounded(R.normalised(profile.withColumn("share", F.col("S_t")), "share").select("target_id", "site", "share"), "share")
+    return shares.crossJoin(F.broadcast(R.data_range(profile, "S_t")))  # one row
+
+
+@query(B.sql('SELECT target_id, CAST("end" AS INTEGER) AS "end", array_to_string(list(CAST(least(nt_, 50) AS BIGINT) ORDER BY site), \',\') AS cells FROM whl WHERE site BETWEEN 3 AND 12 GROUP BY ALL', f"{_SPINE}, {_SIDES}"))
+def matrix_cells(spark, d):
+    """The matrix of counts, cut to ten sites and capped."""
+    cells = R.matrix(R.compute(*_stops(spark, d), PLAIN), "S_t", 50, (3, 12))
+    return cells.select("target_id", "end", F.array_join(F.transform("cells", lambda x: x.cast("long")), ",").alias("cells"))
+
+
 @query(B.sql('SELECT target_id, "end", ' + ", ".join(f'CAST(sum(nt_) FILTER (WHERE site = {i}) AS BIGINT) AS "s{i}"' for i in range(25)) + ' FROM sid GROUP BY ALL', f"{_SPINE}, {_SIDES}"))
 def matrix_pivot(spark, d):
     counts, t = _stops(spark, d)
@@ -549,6 +618,18 @@ def result_diff(spark, d):
     return Q.differing(*_sets(spark, d)).select("pair_id", "site_a", "site_b")
 
 
+@query(B.sql("""SELECT * FROM (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, CASE WHEN coalesce(a.site, -1) <> -1 AND coalesce(b.site, -1) = -1 THEN 'only_a' WHEN coalesce(a.site, -1) = -1 AND coalesce(b.site, -1) <> -1 THEN 'only_b'
+  WHEN a.site <> -1 AND b.site <> -1 AND (a.site <> b.site OR a."end" <> b."end" OR a.target_id <> b.target_id OR a.muts <> b.muts) THEN 'different' END AS kind
+  FROM (SELECT pair_id, max(site) AS site, max("end") AS "end", max(target_id) AS target_id, max(muts) AS muts FROM ra WHERE pair_id % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT pair_id, max(site) AS site, max("end") AS "end", max(target_id) AS target_id, max(muts) AS muts FROM rb WHERE pair_id % 3 <> 1 GROUP BY 1) b USING (pair_id)) WHERE kind IS NOT NULL"""))
+def two_sided_diff(spark, d):
+    """Sets of which each lacks some pairs of the other; a row for each pair."""
+    def one(set_, k):
+        return set_.where(F.col("pair_id") % 3 != k).groupBy("pair_id").agg(*[F.max(c).alias(c) for c in ("site", "end", "target_id", "muts", "failure", "multiplicity")])
+
+    a, b = _sets(spark, d)
+    return Q.both_sides(one(a, 0), one(b, 1)).select("pair_id", "kind")
+
+
 @query(B.sql("""SELECT CAST(coalesce(sum(multiplicity_a) FILTER (WHERE site_a <> -1 AND site_b = -1), 0) AS BIGINT) AS lost, CAST(coalesce(sum(multiplicity_a) FILTER (WHERE site_a = -1 AND site_b <> -1), 0) AS BIGINT) AS gained,
   CAST(coalesce(sum(multiplicity_a) FILTER (WHERE site_a <> -1 AND site_b <> -1 AND site_a <> site_b), 0) AS BIGINT) AS moved_site, CAST(coalesce(sum(multiplicity_a) FILTER (WHERE site_a <> -1 AND site_b <> -1 AND end_a <> end_b), 0) AS BIGINT) AS moved_end FROM dff""", _DIFF))
 def diff_summary(spark, d):

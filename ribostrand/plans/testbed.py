@@ -65,6 +65,23 @@ def prefixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("pair_id", F.substring(F.concat(handle, S.reverse_complement("seq")), 1, LENGTH).alias("r1"), F.substring(F.concat(prefix, "seq"), 1, LENGTH).alias("r2"))
 
 
+def graded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with base qualities: the changed base of R2 is a poor one where pair_id is even."""
+    at = (F.col("pair_id") % 20).cast("int")
+    good = F.repeat(F.lit("I"), LENGTH)
+    poor = F.concat(F.substring(good, F.lit(1), at), F.lit("!"), F.substring(good, at + 2, F.lit(LENGTH)))
+    return pairs(spark, sf_dir).withColumn("r1_qual", F.substring(good, F.lit(1), F.length("r1"))).withColumn("r2_qual", F.substring(F.when(F.col("pair_id") % 2 == 0, poor).otherwise(good), F.lit(1), F.length("r2")))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, r1, r2 of transcripts from base pair_id % 20 of a target to base 40 + pair_id % 60 (or its last one), with the linker behind them."""
+    e = pairs(spark, sf_dir).select("pair_id", "target_id").join(targets(spark, sf_dir).select("target_id", "seq"), "target_id")
+    start, end = (F.col("pair_id") % 20).cast("int"), F.least(40 + F.col("pair_id") % 60, F.length("seq")).cast("int")
+    whole = F.concat(F.substring("seq", start + 1, end - start), F.lit(RunConfig().cotrans_linker))
+    handle = F.when(F.col("pair_id") % 2 == 0, "AAAT").otherwise("CCCG")
+    return e.select("pair_id", F.substring(F.concat(handle, S.reverse_complement(whole)), 1, LENGTH).alias("r1"), F.substring(F.concat(whole, S.reverse_complement(handle), S.reverse_complement(F.lit(ADAPTER_T))), 1, LENGTH).alias("r2"))
+
+
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered stops and mutations of three targets with ends from 20 to 24."""
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
