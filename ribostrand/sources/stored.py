@@ -1,9 +1,12 @@
 """Runs that were stored in a SQLite file: their tables, and what they mean here.
 
 ``SqliteTable`` (format ``sqlite_table``) reads one table by ranges of its row
-numbers, a task each. Filters that compare a column with values are run by
-SQLite: the ranges shrink to the rows that can pass, and only rows that pass
-leave it. The file must be on a disk that all executors see.
+numbers, a task each. With ``pushdown`` SQLite runs the filters that compare a
+column with values: the ranges shrink to the rows that can pass, and only those
+leave it. Spark keeps the filters of such a source with the loaded table, so a
+table that is read with pushdown must not be filtered in two ways in one query;
+``stored_results`` loads one for each set. The file must be on a disk that all
+executors see.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ class SqliteReader(DataSourceReader):
         self.path, self.table, self.rows = options["path"], options["table"], int(options.get("rows", ROWS))
         self.where, self.values = "1", []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+    def take_filters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes what SQLite can run; yields the rest to Spark."""
         names = ["row_id", *(c.rsplit(" ", 1)[0] for c in TABLES[self.table].split(", "))]
         columns = {n: "rowid" if n == "row_id" else f'"{n}"' for n in names}
@@ -104,8 +107,13 @@ class SqliteReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=["row_id", *(n for n, _ in columns)])
 
 
+class FilteringReader(SqliteReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        return self.take_filters(filters)
+
+
 class SqliteTable(DataSource):
-    """Options: path, table (of TABLES), rows (row numbers a task). A table that the file lacks has no rows."""
+    """Options: path, table (of TABLES), rows (row numbers a task), pushdown. A table that the file lacks has no rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,14 +123,15 @@ class SqliteTable(DataSource):
         return "row_id long, " + TABLES[self.options["table"]].replace("end long", "`end` long")
 
     def reader(self, schema) -> SqliteReader:
-        return SqliteReader(dict(self.options))
+        return (FilteringReader if self.options.get("pushdown") == "true" else SqliteReader)(dict(self.options))
 
 
-def read_table(spark: SparkSession, path: str, table: str, rows: int = ROWS) -> DataFrame:
-    """row_id and the columns of one stored table; filters go to SQLite."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
+def read_table(spark: SparkSession, path: str, table: str, rows: int = ROWS, pushdown: bool = False) -> DataFrame:
+    """row_id and the columns of one stored table; pushdown: filters go to SQLite (see above)."""
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses a reader that takes filters
     spark.dataSource.register(SqliteTable)
-    return spark.read.format("sqlite_table").options(path=path, table=table, rows=str(rows)).load()
+    return spark.read.format("sqlite_table").options(path=path, table=table, rows=str(rows), pushdown=str(pushdown).lower()).load()
 
 
 def stored_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -136,11 +145,20 @@ def stored_pairs(spark: SparkSession, path: str, unique: bool = False) -> DataFr
     return rows.join(read_table(spark, path, "unique_pair").select("pair_id", "multiplicity"), "pair_id") if unique else rows.withColumn("multiplicity", F.lit(1).cast("long"))
 
 
-def stored_results(spark: SparkSession, path: str) -> DataFrame:
-    """All result sets in the flat form of ``operators.results``: set_name, pair_id, target_id, mask, site, end, muts, multiplicity, failure, tags."""
+def stored_results(spark: SparkSession, path: str, set_name: str | None = None) -> DataFrame:
+    """One or all result sets in the flat form of ``operators.results``: set_name, pair_id, target_id, mask, site, end, muts, multiplicity, failure, tags.
+
+    Of one set SQLite gives out its rows and its tags alone.
+    """
     sets = read_table(spark, path, "result_set").select(F.col("row_id").alias("set_id"), F.col("set_id").alias("set_name"))
+    some = {}
+    if set_name is not None:
+        sets = sets.where(F.col("set_name") == set_name)
+        some = {"pushdown": True}
+    number_of = [r["set_id"] for r in sets.collect()] if some else []  # names are few
+    own = (lambda df: df.where(F.col("set_id").isin(number_of))) if some else (lambda df: df)
     names = read_table(spark, path, "tag").select(F.col("row_id").alias("tag_id"), F.col("name").alias("tag"))
-    tags = read_table(spark, path, "result_tag").join(names, "tag_id").groupBy(F.col("result_id").alias("row_id")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-    rows = read_table(spark, path, "result").join(sets, "set_id").join(tags, "row_id", "left")
+    tags = own(read_table(spark, path, "result_tag", **some)).join(names, "tag_id").groupBy(F.col("result_id").alias("row_id")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    rows = own(read_table(spark, path, "result", **some)).join(sets, "set_id").join(tags, "row_id", "left")
     number = lambda c: F.col(c).cast("int").alias(c)
     return rows.select("set_name", "pair_id", F.when(F.col("target") > 0, F.col("target")).cast("int").alias("target_id"), "mask", number("site"), number("end"), number("muts"), "multiplicity", "failure", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))

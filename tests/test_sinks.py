@@ -155,6 +155,7 @@ def test_filters_run_in_sqlite(spark, tmp_path):
         db.execute("CREATE TABLE result (set_id, pair_id, target, mask, site, end, muts, multiplicity, failure, tag_mask)")
         db.executemany("INSERT INTO result VALUES (?, ?, 1, ?, ?, 40, -1, 1, ?, 0)", [(1 + i % 2, i, "RRRY" if i % 3 else None, i % 50, None if i % 5 else "no Match") for i in range(1000)])
     rows = stored.read_table(spark, path, "result", rows=100)
+    plain = rows
     every = [r.asDict() for r in rows.collect()]
     for condition, test in {
         "set_id = 2 AND pair_id > 900": lambda r: r["set_id"] == 2 and r["pair_id"] > 900,
@@ -164,14 +165,18 @@ def test_filters_run_in_sqlite(spark, tmp_path):
         "mask <=> 'RRRY' AND row_id <= 20": lambda r: r["mask"] == "RRRY" and r["row_id"] <= 20,
         "site * 2 = 8": lambda r: r["site"] == 4,
     }.items():
+        rows = stored.read_table(spark, path, "result", rows=100, pushdown=True)
         assert sorted(r["row_id"] for r in rows.where(condition).collect()) == sorted(r["row_id"] for r in every if test(r))
     # fewer tasks, and fewer rows leave SQLite
-    assert rows.rdd.getNumPartitions() == 10 and rows.where("pair_id BETWEEN 400 AND 420").rdd.getNumPartitions() == 1
+    rows = stored.read_table(spark, path, "result", rows=100, pushdown=True)
+    assert plain.rdd.getNumPartitions() == 10 and rows.where("pair_id BETWEEN 400 AND 420").rdd.getNumPartitions() == 1
+    a, b = (plain.where(F.col("set_id") == k).select("pair_id") for k in (1, 2))
+    assert a.unionByName(b).count() == 1000 and a.join(b, "pair_id").count() == 0
     reader = stored.SqliteReader({"path": path, "table": "result", "rows": "100"})
-    rest = list(reader.pushFilters([stored.EqualTo(("set_id",), 2), stored.EqualTo(("site",), 7), stored.StringContains(("failure",), "x")]))
+    rest = list(reader.take_filters([stored.EqualTo(("set_id",), 2), stored.EqualTo(("site",), 7), stored.StringContains(("failure",), "x")]))
     assert rest == [] and reader.partitions() == []
     reader = stored.SqliteReader({"path": path, "table": "result", "rows": "100"})
-    assert list(reader.pushFilters([stored.In(("site",), (7,)), stored.EqualTo(("site", "x"), 7)])) == [stored.EqualTo(("site", "x"), 7)]
+    assert list(reader.take_filters([stored.In(("site",), (7,)), stored.EqualTo(("site", "x"), 7)])) == [stored.EqualTo(("site", "x"), 7)]
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20
 
 

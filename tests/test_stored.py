@@ -32,6 +32,9 @@ def test_sqlite_run(spark, tmp_path):
     rows = stored.stored_results(spark, path)
     assert sorted((r["set_name"], r["pair_id"], r["target_id"], r["site"], tuple(r["tags"])) for r in rows.collect()) == [("a", 1, 1, 3, ("match", "treated")), ("a", 2, None, -1, ("treated",)), ("b", 1, 1, 4, ())]
     assert stored.read_table(spark, path, "counter").count() == 0
+    assert [sorted(map(str, stored.stored_results(spark, path, n).collect())) for n in "abc"] == [sorted(str(r) for r in rows.collect() if r["set_name"] == n) for n in "abc"]
+    one, two = (stored.stored_results(spark, path, n) for n in "ab")
+    assert [(r["pair_id"], r["kind"]) for r in Q.both_sides(one, two).collect()] == [(1, "different")]
     a, b = (rows.where(F.col("set_name") == n) for n in "ab")
     assert [(r["pair_id"], r["kind"]) for r in Q.both_sides(a, b).collect()] == [(1, "different")]
     assert [(r["pair_id"], r["kind"]) for r in Q.both_sides(b.withColumn("pair_id", F.lit(7)), a).orderBy("pair_id").collect()] == [(1, "only_b"), (7, "only_a")]
