@@ -212,8 +212,12 @@ def sam_pairs(sam: DataFrame, targets: DataFrame, cotrans: bool = False) -> Data
     return (both if cotrans else both.where("`end` = n")).select("qname", F.col("rname").alias("target"), "site", "end")
 
 
+REACTIVITIES = "sequence string, rt_start int, five_prime_offset int, nucleotide string, treated_mods long, untreated_mods long, beta double, theta double, c double"
+
+
 def read_reactivities(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True)
+    """Typed rows of a reactivity table; beta and theta are null where it has a dash."""
+    return spark.read.csv(path, schema=REACTIVITIES, sep="\t", header=True, nullValue="-")
 
 
 def read_text_fastq(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
