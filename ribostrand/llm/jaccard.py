@@ -61,7 +61,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import flat_string, slices
+from .bpe import flat_string, release, slices
 from .common import bitmap, discard, passes, small_batches, split_by_ids, stored, text_hash, texts
 
 LIGHT = 1
@@ -202,6 +202,11 @@ def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
     """doc_id, t (hash of the text), n_shingles, h1, h2 (128-bit digest of the set, null if empty) and bands (band, need, entries of the index) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what other operators' tasks left
+        yield from made(batches)
+        release()  # the next stages run in the JVM while this worker waits
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band_type = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("entries", pa.list_(pa.int64()))])
         for batch in batches:
             column = flat_string(batch.column(1))
