@@ -490,8 +490,8 @@ def connected(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # first one partner for each member: it connects most of what is connected
     out = compared(best_hubs(index), sets, percent)
     found = components(linked(out), "id", "hub")
+    discard(out, shuffles=True)
     rest = open_entries(index.select("entry", "id", "band", "need"), found)
-    discard(out)
     if rest.isEmpty():
         return found
     discard(rest, shuffles=True)
@@ -540,9 +540,10 @@ def _classes(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFr
     discard(rows, shared, shuffles=True)
     index = open_entries(held, df.sparkSession.createDataFrame([], "id long, component long"))
     discard(held)
-    wanted = index.select("id").distinct().join(heads, "id").select("id", "first", "h1", "h2")
+    wanted = stored(index.select("id").distinct().join(heads, "id").select("id", "first", "h1", "h2"), "wanted")
     found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("first").alias("mix")), "mix"), key, text).join(wanted.withColumnRenamed("first", "doc_id"), ["doc_id", "h1", "h2"])
     sets = stored(found_sets.select("id", "elements").dropDuplicates(["id"]), "sets")
+    discard(wanted, shuffles=True)
     found = connected(index, sets, percent)
     # components are named by the smallest key in them
     roots = found.select(F.col("component").alias("id"), "component").distinct()
