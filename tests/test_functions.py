@@ -109,3 +109,16 @@ def test_abif():
     content = head.ljust(128, b"\0") + data + entry + small
     assert parse_abif(content) == {"DATA9": [1, 2, 3, -4, 5, 6], "LANE1": [7]}
     assert parse_abif(content, ["LANE1"]) == {"LANE1": [7]}
+
+
+def test_places_with_errors(spark):
+    """Against brute force, with nulls, empty and too long parts; compared as arrays, not by functions called for every base."""
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("ACG", k=rng.randint(0, 6))), "".join(rng.choices("ACG", k=rng.randint(0, 30)))) for _ in range(400)] + [(None, "ACG"), ("ACG", None), ("", ""), ("", "AC"), ("ACGT", "ACG"), ("Aé", "xAéy")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, part string, whole string")
+    for errors, most in ((0, 1), (1, 2), (2, 9)):
+        found = df.select("id", S.find_with_errors("part", "whole", errors, most).alias("at"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "lambda" not in plan
+        wanted = {i: [t for t in range(len(w) - len(p) + 1) if sum(a != b for a, b in zip(p, w[t:], strict=False)) <= errors][:most] if p is not None and w is not None else [] for i, (p, w) in enumerate(rows)}
+        assert {r["id"]: r["at"] for r in found.collect()} == wanted
