@@ -59,13 +59,25 @@ def longest_unmatched(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return lengths.join(some, ["pair_id", "read"], "left").join(covered.select("pair_id", "read", F.lit(True).alias("any")).distinct(), ["pair_id", "read"], "left").select("pair_id", "read", F.coalesce("longest", F.when(F.col("any"), 0).otherwise(F.col("n"))).alias("longest"))
 
 
+def names_found(pairs: DataFrame, tagged: DataFrame, least: int = 8) -> DataFrame:
+    """r1, r2, _found: the distinct pairs of reads that show stretches of tag targets, and whose, sorted. Equal reads are searched once."""
+    both = pairs.select("r1", "r2").distinct()
+    reads = both.select(F.explode(F.array("r1", "r2")).alias("seq")).distinct()
+    hits = seed_hits(reads.select(F.col("seq").alias("query_id"), "seq"), tagged, least).select("query_id", "target_id").distinct()
+    names = hits.join(tagged.select("target_id", "name"), "target_id").groupBy("query_id").agg(F.collect_set("name").alias("names"))
+    for r in ("r1", "r2"):
+        both = both.join(names.select(F.col("query_id").alias(r), F.col("names").alias(f"_{r}")), r, "left")
+    none = F.array().cast("array<string>")
+    every = F.array_sort(F.array_union(F.coalesce("_r1", none), F.coalesce("_r2", none)))
+    return both.select("r1", "r2", every.alias("_found")).where(F.size("_found") > 0)
+
+
 def assign(results: DataFrame, pairs: DataFrame, targets: DataFrame, config: RunConfig = RunConfig(), plugins: dict[str, Callable[[DataFrame], Column]] | None = None) -> DataFrame:
     """results with tags. A plugin gives a boolean column of the tagged rows (a pandas UDF will do)."""
     names = targets.select(F.col("target_id"), F.col("name").alias("_name"))
     rows = results.join(pairs.select("pair_id", "r1", "r2"), "pair_id").join(names, "target_id", "left")
-    hits = spans(pairs.join(results.where("target_id is null").select("pair_id"), "pair_id", "left_semi"), tag_targets(targets, config), config.minimum_tag_match_length)
-    found = hits.groupBy("pair_id").agg(F.array_sort(F.collect_set("name")).alias("_found"))
-    rows = rows.join(found, "pair_id", "left")
+    unmatched = pairs.join(results.where("target_id is null").select("pair_id"), "pair_id", "left_semi")
+    rows = rows.join(names_found(unmatched, tag_targets(targets, config), config.minimum_tag_match_length), ["r1", "r2"], "left")
     matched = F.col("target_id").isNotNull()
     counts = F.coalesce(F.col("counters"), F.create_map().cast("map<string, bigint>"))
     # beyond the fragment both reads show the linker and dumbbell, the handle, and then adapter

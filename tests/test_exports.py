@@ -89,3 +89,12 @@ def test_diagram():
     text = X.diagram("AAATCC", "ACGA", "ACGTGG", 0, 6)
     assert "ACGa" in text and json.dumps(text)
     assert "(no site)" in X.diagram("A", "C", "G", None, None)
+
+
+def test_equal_reads_are_searched_once(spark):
+    """Names by distinct pair of reads, of both reads together; nothing for reads that show none."""
+    targets = spark.createDataFrame([(1, "one", "ACGTTGCAACGATCG"), (2, "two", "GGATTACAGGATCCA")], "target_id int, name string, seq string")
+    rows = [("ACGTTGCAA", "GGATTACAG"), ("ACGTTGCAA", "CCCCCCCCC"), ("CCCCCCCCC", "GAGAGAGAG"), ("AC", "GGATTACAG")]
+    pairs = spark.createDataFrame([(i, *rows[i % 4]) for i in range(40)], "pair_id long, r1 string, r2 string")
+    found = T.names_found(pairs, targets).collect()
+    assert sorted((r["r1"], r["r2"], r["_found"]) for r in found) == [("AC", "GGATTACAG", ["two"]), ("ACGTTGCAA", "CCCCCCCCC", ["one"]), ("ACGTTGCAA", "GGATTACAG", ["one", "two"])]
