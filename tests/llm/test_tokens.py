@@ -41,6 +41,36 @@ def test_ids_and_counts_equal_the_library(name):
     assert PrefixCounter(tokenizer_path(name)).counts(pa.array(texts)).tolist() == [len(x) for x in wanted]
 
 
+@pytest.mark.parametrize("name", FILES)
+@pytest.mark.parametrize("most", (3, 400_000))
+def test_plain_texts_are_encoded_many_pieces_at_once(name, most):
+    import pyarrow as pa
+
+    texts = ["", " ", "\n", "The end", " it's 12'll ", "don't\n 'll x", "a\x01b, c", "é</w> </w>a</w>", "ÀÉ éà.", "=" * 700 + " a", "aaaa" * 300, *(f"w{i} é{i * 7919 % 5003}x, " for i in range(20_000))]
+    own, t = ChunkEncoder(tokenizer_path(name), most), library(name)
+    own.model = None  # it takes a call and a list of objects for each piece
+    for some in (texts, texts[:9], [], [""], texts[::-3]):
+        ids, offsets = own.ids(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in t.encode_batch_fast(some, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_an_encoder_keeps_no_objects_for_its_pieces(name):
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own = ChunkEncoder(tokenizer_path(name))
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}q" for i in range(k, k + 100)) for k in range(0, 40_000, 100)])
+    tracemalloc.start()
+    own.ids(texts)
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 3 << 20  # 40,000 pieces of some ids each
+
+
 @pytest.mark.parametrize("name", FILES)
 @settings(max_examples=40, deadline=None)
 @given(text=st.text("abethion ABÉ.,'sl3\n!?é", max_size=24))
