@@ -532,7 +532,8 @@ def _classes(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFr
     small = stored(rows.select("doc_id", "t", "n_shingles", "h1", "h2"), "classes")
     heads = small.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     heads = stored(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
-    every = rows.select(F.explode("bands").alias("b")).select(F.explode("b.entries").alias("entry"))
+    # hardly an entry occurs twice in a task: counts made before the shuffle would only take memory
+    every = rows.select(F.explode("bands").alias("b")).select(F.explode("b.entries").alias("entry")).repartition("entry")
     # copies share all entries; they are told from others below
     shared = stored(every.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), "shared")
     held = members(rows, bitmap(shared, "entry")).join(shared, "entry").distinct()

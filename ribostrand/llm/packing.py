@@ -28,8 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, flat_string, slices
-from .common import stored, texts
+from .bpe import encoder, flat_string, release, slices
+from .common import small_batches, stored, texts
+
+#: Rows that a Python worker gets at once.
+BATCH = 2_000
 
 
 class Sums:
@@ -170,6 +173,11 @@ def pieces(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, k
     """Pieces of all documents: key, piece, start, length, ids_crc32, and (part, number): the number among this part's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(tokenizer)  # what other operators' tasks left
+        yield from made(batches)
+        release(tokenizer)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, part = encoder(tokenizer), np.zeros(length + 1, np.int64), uuid.uuid4().hex
         for batch in batches:
             docs, column = batch.column(0), flat_string(batch.column(1))
@@ -201,7 +209,8 @@ def pieces(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, k
 
 def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = stored(pieces(df, tokenizer, length, end_id, key, text), "pieces")
+    with small_batches(df.sparkSession, BATCH):
+        cut = stored(pieces(df, tokenizer, length, end_id, key, text), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("pieces"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored(counts.withColumn("before", F.coalesce(F.sum("pieces").over(earlier), F.lit(0))), "piece-counts")

@@ -125,6 +125,26 @@ def test_packing(docs, none):
     assert pack(none, tokenizer_path(FILES[0])).count() == 0
 
 
+def test_stages_of_large_tables_hold_little_at_once(docs, spark, monkeypatch):
+    from ribostrand.llm import jaccard, packing
+
+    plans, rows = {}, {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        rows[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return real(df, name)
+
+    real = packing.stored
+    monkeypatch.setattr(packing, "stored", seen)
+    monkeypatch.setattr(jaccard, "stored", seen)
+    pack(docs, tokenizer_path(FILES[0]))
+    jaccard.classes(docs)
+    assert rows["pieces"] <= 2_000 < rows["piece-counts"]
+    # entries, of which few occur twice in a task, are dealt out before they are counted
+    assert "RepartitionByExpression" in plans["shared"] or "REPARTITION_BY_COL" in plans["shared"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=20))
 def test_plan(histogram):
