@@ -106,8 +106,13 @@ def discard(*tables: DataFrame, shuffles: bool = False) -> None:
     for df in tables:
         _delete(df.sparkSession, df.stored_at)
     if shuffles:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs, else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def filesystem(uri: str):

@@ -51,8 +51,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +62,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import flat_string, release, slices
-from .common import bitmap, discard, passes, small_batches, split_by_ids, stored, text_hash, texts
+from .common import bitmap, discard, drop_shuffles, passes, small_batches, split_by_ids, stored, text_hash, texts
 
 LIGHT = 1
+#: Entries are met in 2**SHARE_BITS shares, by their first bits, one after the other: shuffle files of one share lie on disk at a time.
+SHARE_BITS = 2
+SHARES = [f"entries{k}" for k in range(1 << SHARE_BITS)]
 #: Entries of deltas with at most FEW pairs for each member give pairs; others get hubs, for at most LEVELS levels.
 FEW = 128
 LEVELS = 2
@@ -198,16 +201,22 @@ def keys(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]
     return out
 
 
-def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, h1, h2 (128-bit digest of the set, null if empty) and bands (band, need, entries of the index) for each row."""
+def tidy(made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that gives memory back before and after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()  # what other operators' tasks left
         yield from made(batches)
         release()  # the next stages run in the JVM while this worker waits
 
+    return run
+
+
+def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, h1, h2 (128-bit digest of the set, null if empty), and for its bands: band, need and, share by share, entries of the index, for each row."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band_type = pa.struct([("band", pa.int64()), ("need", pa.int64()), ("entries", pa.list_(pa.int64()))])
+        edges = np.arange(len(SHARES), dtype=np.uint64) << np.uint64(64 - SHARE_BITS)
         for batch in batches:
             column = flat_string(batch.column(1))
             for a, b in slices(column):
@@ -215,48 +224,71 @@ def indexed(df: DataFrame, n: int, percent: int, key: str = "doc_id", text: str
                 digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") if len(s) else (None, None) for s in sets]
                 found = [keys(s, percent) for s in sets]
                 flat = [x for bands in found for x in bands]
-                inner = np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])]).astype(np.int32)
-                outer = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                entries = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in flat)]).view(np.int64)))
-                bands = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), entries], fields=list(band_type))
+                outer = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+                # entries are sorted, so that those of a share lie together in each band
+                bounds = np.array([[*np.searchsorted(x[2], edges), len(x[2])] for x in flat], np.int64).reshape(-1, len(SHARES) + 1)
+                shares = []
+                for k in range(len(SHARES)):
+                    inner = np.concatenate([[0], np.cumsum(bounds[:, k + 1] - bounds[:, k])]).astype(np.int32)
+                    own = np.concatenate([np.zeros(0, np.uint64), *(x[2][i:j] for x, i, j in zip(flat, bounds[:, k], bounds[:, k + 1], strict=True))])
+                    shares.append(pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(inner), pa.array(own.view(np.int64)))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(outer), bands)],
-                    ["doc_id", "t", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
+                    + [pa.ListArray.from_arrays(outer, pa.array([x[i] for x in flat], pa.int64())) for i in (0, 1)]
+                    + shares,
+                    ["doc_id", "t", "n_shingles", "h1", "h2", "band", "need", *SHARES],
                 )
 
-    return texts(df, key, text).withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, n_shingles long, h1 long, h2 long, bands array<struct<band: long, need: long, entries: array<long>>>")
+    columns = ", ".join(f"{c} array<array<long>>" for c in SHARES)
+    return texts(df, key, text).withColumn("t", F.xxhash64("text")).mapInArrow(tidy(made), f"doc_id long, t long, n_shingles long, h1 long, h2 long, band array<long>, need array<long>, {columns}")
 
 
-def members(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """h1, h2, band, need, entry of the entries that pass the bitmap."""
+def members(rows: DataFrame, share: str, bits: np.ndarray) -> DataFrame:
+    """h1, h2, band, need, entry of a share's entries that pass the bitmap."""
     sent = rows.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def holder(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, "right") - 1
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            values = lists.flatten().to_numpy(zero_copy_only=False)
+            outer = batch.column(4)
+            inner = outer.flatten()
+            values = inner.flatten().to_numpy(zero_copy_only=False)
             at = np.flatnonzero(passes(sent.value, values))
-            row = pa.array(np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, "right") - 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(4)), pa.array(values[at])], ["h1", "h2", "band", "need", "entry"])
+            band = holder(inner, at)
+            row = pa.array(holder(outer, band))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in (0, 1)), *(batch.column(i).flatten().take(pa.array(band)) for i in (2, 3)), pa.array(values[at])], ["h1", "h2", "band", "need", "entry"])
+
+    return rows.select("h1", "h2", "band", "need", share).mapInArrow(tidy(made), "h1 long, h2 long, band long, need long, entry long")
+
 
-    flat = rows.select("h1", "h2", F.explode("bands").alias("b")).select("h1", "h2", "b.band", "b.need", "b.entries")
-    return flat.mapInArrow(run, "h1 long, h2 long, band long, need long, entry long")
+def held_in(rows: DataFrame, heads: DataFrame, share: str) -> DataFrame:
+    """entry, id, band, need: a share's entries with several holders; stored."""
+    # hardly an entry occurs twice in a task: counts made before the shuffle would only take memory
+    every = rows.select(F.explode(share).alias("e")).select(F.explode("e").alias("entry")).repartition("entry")
+    # copies share all entries; they are told from others below
+    shared = stored(every.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), "shared")
+    drop_shuffles(rows.sparkSession)
+    held = members(rows, share, bitmap(shared, "entry")).join(shared, "entry").distinct()
+    out = stored(held.join(heads.select("h1", "h2", "id"), ["h1", "h2"]).select("entry", "id", "band", "need"), "held")
+    discard(shared, shuffles=True)
+    return out
 
 
-def set_bytes(df: DataFrame, n: int, bits: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h1, h2, elements (sorted little-endian 64-bit hashes) of the rows whose key passes the bitmap."""
-    sent = df.sparkSession.sparkContext.broadcast(bits)  # 4 MB, a constant
+def set_bytes(df: DataFrame, n: int, wanted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, elements (sorted little-endian 64-bit hashes) of the rows wanted (doc_id, t, id; stored), one for each id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
             column = flat_string(batch.column(1))
             for a, b in slices(column):
-                sets = shingles(column.slice(a, b - a), n)
-                digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8") for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h1", "h2", "elements"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingles(column.slice(a, b - a), n)], pa.binary())], ["id", "elements"])
 
-    return texts(df, key, text).withColumn("mix", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, h1 long, h2 long, elements binary")
+    # texts are shuffled, once: hashes can't be compressed
+    some = split_by_ids(texts(df, key, text), "doc_id", wanted, "doc_id")[0].withColumn("t", F.xxhash64("text"))
+    once = some.repartition("doc_id", "t").dropDuplicates(["doc_id", "t"])
+    return once.join(wanted, ["doc_id", "t"]).select("id", "text").mapInArrow(tidy(made), "id long, elements binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -530,20 +562,15 @@ def classes(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", t
 def _classes(df: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     rows = stored(indexed(df, n, percent, key, text), "indexed")
     small = stored(rows.select("doc_id", "t", "n_shingles", "h1", "h2"), "classes")
-    heads = small.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    heads = small.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min_by("t", "doc_id").alias("first_t"))
     heads = stored(heads.withColumn("id", F.monotonically_increasing_id()), "heads")
-    # hardly an entry occurs twice in a task: counts made before the shuffle would only take memory
-    every = rows.select(F.explode("bands").alias("b")).select(F.explode("b.entries").alias("entry")).repartition("entry")
-    # copies share all entries; they are told from others below
-    shared = stored(every.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"), "shared")
-    held = members(rows, bitmap(shared, "entry")).join(shared, "entry").distinct()
-    held = stored(held.join(heads.select("h1", "h2", "id"), ["h1", "h2"]).select("entry", "id", "band", "need"), "held")
-    discard(rows, shared, shuffles=True)
-    index = open_entries(held, df.sparkSession.createDataFrame([], "id long, component long"))
-    discard(held)
-    wanted = stored(index.select("id").distinct().join(heads, "id").select("id", "first", "h1", "h2"), "wanted")
-    found_sets = set_bytes(df, n, bitmap(wanted.select(F.xxhash64("first").alias("mix")), "mix"), key, text).join(wanted.withColumnRenamed("first", "doc_id"), ["doc_id", "h1", "h2"])
-    sets = stored(found_sets.select("id", "elements").dropDuplicates(["id"]), "sets")
+    held = [held_in(rows, heads, share) for share in SHARES]
+    discard(rows)
+    index = open_entries(reduce(DataFrame.unionByName, held), df.sparkSession.createDataFrame([], "id long, component long"))
+    discard(*held)
+    wanted = stored(index.select("id").distinct().join(heads, "id").select("id", F.col("first").alias("doc_id"), F.col("first_t").alias("t")), "wanted")
+    drop_shuffles(df.sparkSession)
+    sets = stored(set_bytes(df, n, wanted, key, text), "sets")
     discard(wanted, shuffles=True)
     found = connected(index, sets, percent)
     # components are named by the smallest key in them

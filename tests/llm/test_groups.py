@@ -54,6 +54,29 @@ def test_random_groups(spark, monkeypatch, n, percent, few, levels):
     assert len({c for _, _, c in wanted}) > 20
 
 
+def test_little_is_shuffled_at_once(spark, monkeypatch):
+    """Entries are dealt out share by share, each a part of them; of wanted rows the texts are, once."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    docs = spark.createDataFrame([(d, " ".join(edited(rng, base, d % 7))) for d in range(30)] * 2, "doc_id long, text string")
+    rows = J.indexed(docs, 4, 85)
+    found = [Counter(e for r in rows.select(share).collect() for band in r[0] for e in band) for share in J.SHARES]
+    every = Counter(int(e) for r in docs.collect() for s in J.shingles(J.pa.array([r.text]), 4) for _, _, own in J.keys(s, 85) for e in own.view("int64"))
+    assert sum(found, Counter()) == every and max(c.total() for c in found) < every.total() / 2
+    plans, real = [], J.stored
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(J, "stored", seen)
+    J.classes(docs)
+    shared = [plan for name, plan in plans if name == "shared"]
+    assert [[share for share in J.SHARES if share in plan] for plan in shared] == [[share] for share in J.SHARES]
+    (sets,) = [plan for name, plan in plans if name == "sets"]
+    assert "Exchange" not in sets.split("MapInArrow")[0] and "Exchange" in sets
+
+
 def test_rows_are_nodes(spark):
     """Rows that share a key but not a text have components of their own."""
     a, w = helpers.prose(401, 60), helpers.prose(402, 60).split(" ")
